@@ -76,25 +76,27 @@ def in_blocks(number: Column, blocks: list[tuple[str, int]]) -> Column:
 
 def is_public_ipv4(ip: Column) -> Column:
     """True for routable IPv4 only; anything else (v6, garbage, null) is false."""
-    number = ipv4_number(ip)
-    return F.coalesce(
-        ip.isin(PUBLIC_EXCEPTIONS_V4) | ~in_blocks(number, NON_PUBLIC_V4), F.lit(False)
-    ) & F.coalesce(is_ipv4(ip), F.lit(False))
+    blocked = let(ipv4_number(ip), lambda n: in_blocks(n, NON_PUBLIC_V4))
+    return F.when(is_ipv4(ip), ip.isin(PUBLIC_EXCEPTIONS_V4) | ~blocked).otherwise(F.lit(False))
 
 
-def is_internal(ip: Column) -> Column:
-    """Private, loopback, link-local or unspecified; unparsable text counts as internal."""
-    v4 = in_blocks(ipv4_number(ip), INTERNAL_V4) & ~ip.isin(PUBLIC_EXCEPTIONS_V4)
-    v6 = normalise_ip(ip)
-    internal_v6 = (
-        v6.rlike(r"^f[cd][0-9a-f]{2}:") | v6.rlike(r"^fe[89ab][0-9a-f]:") | v6.isin("::", "::1")
-        | v6.rlike(r"^2001:db8:") | v6.rlike(r"^100::[^:]*(:[^:]*){0,3}$") | v6.rlike("^2002:")
-        | (v6.rlike(r"^2001:(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:)")
-           & ~v6.rlike(r"^2001:(1::[12]$|3:|4:112:|[23][0-9a-f]:)"))
-    )
+def _internal_v6(v6: Column) -> Column:
+    reserved = v6.rlike(r"^2001:(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:)") & ~v6.rlike(
+        r"^2001:(1::[12]$|3:|4:112:|[23][0-9a-f]:)")
+    plain = reserved | v6.rlike(
+        r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:db8:|2002:|100::[^:]*(:[^:]*){0,3}$)")
     mapped = F.regexp_extract(v6, r"^::ffff:([0-9.]+)$", 1)
-    internal_v6 = F.when(mapped != "", in_blocks(ipv4_number(mapped), INTERNAL_V4)).otherwise(internal_v6)
-    return F.when(v6.isNull(), True).when(is_ipv4(ip), v4).otherwise(F.coalesce(internal_v6, F.lit(True)))
+    inner = let(mapped, lambda m: in_blocks(ipv4_number(m), INTERNAL_V4))
+    # An address that does not parse is treated as internal: it is never looked up.
+    return F.when(v6.isNull(), True).when(mapped != "", inner).otherwise(plain)
+
+
+def is_internal(ip: str) -> Column:
+    """Private, loopback, link-local or unspecified; unparsable text counts as internal."""
+    text = F.col(ip)
+    v4 = let(ipv4_number(text), lambda n: in_blocks(n, INTERNAL_V4)) & ~text.isin(PUBLIC_EXCEPTIONS_V4)
+    v6 = let(normalise_ip(ip), _internal_v6)
+    return F.when(is_ipv4(text), v4).when(text.contains(":"), v6).otherwise(F.lit(True))
 
 
 def _hex(group: Column) -> Column:
@@ -105,7 +107,7 @@ def _groups(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """Bind a value once, so that an expression using it many times stays small."""
     return F.transform(F.array(value), use).getItem(0)
 
@@ -121,7 +123,7 @@ def _expand_tail(base: Column) -> Column:
         )
 
     dotted = F.split(F.regexp_extract(base, "([^:]*)$", 1), r"\.")
-    return F.when(base.rlike(_V4_TAIL), _let(dotted, rewrite)).otherwise(base)
+    return F.when(base.rlike(_V4_TAIL), let(dotted, rewrite)).otherwise(base)
 
 
 def _fill(text: Column) -> Column:
@@ -142,9 +144,9 @@ def _fill(text: Column) -> Column:
             hexes = F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
             return F.when(sized & hexes, filled)
 
-        return _let(sides, check)
+        return let(sides, check)
 
-    return _let(F.split(text, "::", -1), from_halves)
+    return let(F.split(text, "::", -1), from_halves)
 
 
 def _compress(joined: Column) -> Column:
@@ -166,7 +168,7 @@ def _render(groups: Column) -> Column:
             F.lit("::ffff:"), F.concat_ws(".", *[o.cast("string") for o in octets]))).otherwise(short)
 
     joined = F.array_join(F.transform(groups, _hex), ":")
-    return _let(_let(joined, _compress), show)
+    return let(let(joined, _compress), show)
 
 
 def _normalise_v6(ip: Column) -> Column:
@@ -174,9 +176,9 @@ def _normalise_v6(ip: Column) -> Column:
         base, zone = F.lower(parts.getItem(0)), F.get(parts, F.lit(1))
         zone_ok = (F.size(parts) == 1) | ((F.size(parts) == 2) & (zone != ""))
         suffix = F.when(F.size(parts) == 2, F.concat(F.lit("%"), zone)).otherwise(F.lit(""))
-        return F.when(zone_ok, F.concat(_let(_fill(_let(base, _expand_tail)), _render), suffix))
+        return F.when(zone_ok, F.concat(let(_fill(let(base, _expand_tail)), _render), suffix))
 
-    return _let(F.split(ip, "%", -1), build)
+    return let(F.split(ip, "%", -1), build)
 
 
 @lru_cache(maxsize=64)

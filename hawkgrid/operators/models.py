@@ -8,7 +8,6 @@ projection for flows.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.ml.feature import PCA, HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hawkgrid.functions.flow import flow_vector
 from hawkgrid.functions.text import character_windows, lexical_vector, name_variants, sanitise_domain, strip_dots
@@ -44,17 +44,25 @@ SERVICE_LABELS = [
 HYPHEN_SHARE, BARE_SHARE = 0.40, 0.35
 
 
-@F.pandas_udf("plain string, ascii string")
-def _international(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    def encode(name: str) -> tuple[str, str]:
+def _international():
+    """Pandas UDF for names beyond ASCII: NFKC form and its punycode spelling.
+
+    Built on call, so that it travels to the workers by value.
+    """
+    forms = T.StructType([T.StructField("plain", T.StringType()), T.StructField("ascii", T.StringType())])
+
+    def spell(name):
         plain = unicodedata.normalize("NFKC", name).rstrip(".").lower()
         try:
             return plain, idna.encode(plain, uts46=True).decode("ascii").lower() if idna else plain
-        except (idna.core.IDNAError, UnicodeError):
+        except ValueError:  # idna errors and UnicodeError are both ValueErrors
             return plain, plain
 
-    for batch in names:
-        yield pd.DataFrame([encode(n) for n in batch], columns=["plain", "ascii"])
+    @F.pandas_udf(forms)
+    def encode(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spell(n) for n in names], columns=["plain", "ascii"])
+
+    return encode
 
 
 def normal_names(queries: DataFrame) -> DataFrame:
@@ -62,7 +70,7 @@ def normal_names(queries: DataFrame) -> DataFrame:
     query = F.col("query")
     simple = F.lower(strip_dots(query))
     ascii_only = queries.where(~query.rlike(NON_ASCII)).withColumns({"plain": simple, "ascii": simple})
-    other = queries.where(query.rlike(NON_ASCII)).withColumn("_n", _international(query))
+    other = queries.where(query.rlike(NON_ASCII)).withColumn("_n", _international()(query))
     return ascii_only.unionByName(other.select(*queries.columns, "_n.plain", "_n.ascii"))
 
 
