@@ -7,6 +7,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hawkgrid.functions.bind import let
+
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _V4_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -107,11 +109,6 @@ def _groups(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
 
 
-def let(value: Column, use) -> Column:
-    """Bind a value once, so that an expression using it many times stays small."""
-    return F.transform(F.array(value), use).getItem(0)
-
-
 def _expand_tail(base: Column) -> Column:
     """Rewrite a dotted IPv4 ending as two hexadecimal groups."""
 

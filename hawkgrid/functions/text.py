@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hawkgrid.functions.bind import let
+
 # Suffixes of content networks and clouds whose hashed host names
 # are ordinary traffic. Matched at the end of the name, without a dot boundary.
 KNOWN_INFRA_SUFFIXES = [
@@ -36,16 +38,24 @@ def count_matching(text: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
 
 
+def _characters(text: Column) -> Column:
+    return F.array_distinct(F.split(text, ""))
+
+
 def shannon_entropy(text: Column) -> Column:
-    """Entropy of the character distribution in bits; 0 for empty or null text."""
-    n = F.length(text)
+    """Entropy of the character distribution in bits; 0 for empty or null text.
+
+    log2(n) minus the mean of log2(count) over all characters.
+    """
 
-    def term(total: Column, char: Column) -> Column:
-        share = (n - F.length(F.replace(text, char))) / n
-        return total - share * F.log2(share)
+    def entropy(t: Column) -> Column:
+        n = F.length(t)
+        counts = F.transform(_characters(t), lambda c: n - F.length(F.replace(t, c)))
+        weighted = F.aggregate(
+            counts, F.lit(0.0), lambda total, k: total + F.when(k > 1, k * F.log2(k)).otherwise(F.lit(0.0)))
+        return F.when(n > 0, F.greatest(F.log2(n) - weighted / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
-    chars = F.array_distinct(F.split(text, ""))
-    return F.when(n > 0, F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), term)).otherwise(F.lit(0.0))
+    return let(text, entropy)
 
 
 def first_label(query: Column) -> Column:
@@ -88,19 +98,20 @@ def longest_consonant_run(text: Column) -> Column:
 
 def lexical_vector(text: Column) -> Column:
     """Seven shape features of a name, each in [0, 1]; zeros for empty text."""
-    n = F.length(text)
-    distinct = F.size(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""))
-    parts = [
-        F.least(n / MAX_LABEL, F.lit(1.0)),
-        F.least(shannon_entropy(text) / MAX_ENTROPY, F.lit(1.0)),
-        count_matching(text, r"\p{Nd}") / n,
-        count_matching(text, "aeiou") / n,
-        distinct / n,
-        F.least(longest_consonant_run(text) / MAX_RUN, F.lit(1.0)),
-        count_matching(text, r"\-") / n,
-    ]
-    zeros = F.array(*[F.lit(0.0)] * len(parts))
-    return F.when(n > 0, F.array(*parts)).otherwise(zeros)
+
+    def shape(t: Column) -> Column:
+        n = F.length(t)
+        return F.when(n > 0, F.array(
+            F.least(n / MAX_LABEL, F.lit(1.0)),
+            F.least(shannon_entropy(t) / MAX_ENTROPY, F.lit(1.0)),
+            count_matching(t, r"\p{Nd}") / n,
+            count_matching(t, "aeiou") / n,
+            F.size(_characters(t)) / n,
+            F.least(longest_consonant_run(t) / MAX_RUN, F.lit(1.0)),
+            count_matching(t, r"\-") / n,
+        )).otherwise(F.array(*[F.lit(0.0)] * len(LEXICAL_NAMES)))
+
+    return let(text, shape)
 
 
 def sanitise_domain(text: Column) -> Column:
@@ -113,20 +124,21 @@ def name_variants(ascii_name: Column, plain_name: Column) -> Column:
     At most eight, in this order, without repeats. ``ascii_name`` and ``plain_name``
     differ only for internationalised names.
     """
-    whole = sanitise_domain(ascii_name)
-    labels = F.filter(F.split(whole, r"\."), lambda p: p != "")
-    plain = sanitise_domain(plain_name)
     none = F.array().cast("array<string>")
-    extra = F.when(
-        F.size(labels) >= 2,
-        F.concat(
-            F.array(F.array_join(F.slice(labels, -2, 2), ".")),
-            F.filter(labels, lambda p: F.length(p) >= MIN_LABEL),
-        ),
-    ).otherwise(none)
+    plain = sanitise_domain(plain_name)
     mapped = F.when((ascii_name != plain_name) & (plain != ""), F.array(plain)).otherwise(none)
-    every = F.array_distinct(F.concat(F.array(whole), mapped, extra))
-    return F.when(whole != "", F.slice(every, 1, MAX_VARIANTS)).otherwise(none)
+
+    def collect(whole: Column) -> Column:
+        def from_labels(labels: Column) -> Column:
+            pair = F.array(F.array_join(F.slice(labels, -2, 2), "."))
+            long_labels = F.filter(labels, lambda p: F.length(p) >= MIN_LABEL)
+            extra = F.when(F.size(labels) >= 2, F.concat(pair, long_labels)).otherwise(none)
+            every = F.array_distinct(F.concat(F.array(whole), mapped, extra))
+            return F.when(whole != "", F.slice(every, 1, MAX_VARIANTS)).otherwise(none)
+
+        return let(F.filter(F.split(whole, r"\."), lambda p: p != ""), from_labels)
+
+    return let(sanitise_domain(ascii_name), collect)
 
 
 def character_windows(variants: Column) -> Column:
@@ -134,24 +146,30 @@ def character_windows(variants: Column) -> Column:
 
     Every variant has an equal share of 32 windows, so a long one cannot crowd out others.
     """
-    budget = F.greatest(F.lit(1), F.floor(F.lit(SLICE_BUDGET) / F.size(variants))).cast("int")
+    def cut(names: Column) -> Column:
+        budget = F.greatest(F.lit(1), F.floor(F.lit(SLICE_BUDGET) / F.size(names))).cast("int")
 
-    def windows(name: Column) -> Column:
-        n = F.length(name)
-        steps = F.transform(
-            F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)), F.lit(STEP)), lambda i: F.substring(name, i, WINDOW)
-        )
-        tail = F.when((n - WINDOW) % STEP != 0, F.array(F.substring(name, -WINDOW, WINDOW))).otherwise(
-            F.array().cast("array<string>"))
-        return F.when(n > WINDOW, F.slice(F.concat(steps, tail), 1, budget)).otherwise(F.array(name))
+        def windows(name: Column) -> Column:
+            n = F.length(name)
+            starts = F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)), F.lit(STEP))
+            steps = F.transform(starts, lambda i: F.substring(name, i, WINDOW))
+            tail = F.when((n - WINDOW) % STEP != 0, F.array(F.substring(name, -WINDOW, WINDOW))).otherwise(
+                F.array().cast("array<string>"))
+            return F.when(n > WINDOW, F.slice(F.concat(steps, tail), 1, budget)).otherwise(F.array(name))
 
-    return F.slice(F.flatten(F.transform(variants, windows)), 1, SLICE_BUDGET)
+        return F.slice(F.flatten(F.transform(names, windows)), 1, SLICE_BUDGET)
+
+    return let(variants, cut)
 
 
 def registrable_domain(query: Column) -> Column:
     """Last two labels when both are valid host labels, else null."""
     labels = F.filter(F.split(F.lower(strip_dots(F.trim(query))), r"\."), lambda p: p != "")
-    pair = F.slice(labels, -2, 2)
-    name = F.array_join(pair, ".")
-    valid = (F.size(labels) >= 2) & F.forall(pair, lambda p: p.rlike(_LABEL)) & (F.length(name) <= 253)
-    return F.when(F.size(labels) >= 2, F.when(valid, name))
+
+    def check(pair: Column) -> Column:
+        name = F.array_join(pair, ".")
+        valid = F.forall(pair, lambda p: p.rlike(_LABEL)) & (F.length(name) <= 253)
+        return F.when((F.size(pair) == 2) & valid, name)
+
+    # slice() from the end yields nothing when there are fewer labels than asked for.
+    return let(F.slice(labels, -2, 2), check)

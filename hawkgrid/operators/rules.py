@@ -116,13 +116,15 @@ def dns_rules(dns: DataFrame) -> DataFrame:
     """Tunnelling and high-entropy-name rules over DNS queries."""
     query = F.col("query")
     label = text.first_label(query)
-    entropy = text.shannon_entropy(label)
     length = F.length(query)
     # Cheap length and suffix tests come first; entropy runs only on what is left.
-    random_name = (F.length(label) >= 16) & ~text.is_known_infra(query) & (entropy > 3.8)
+    candidate = (F.length(label) >= 16) & ~text.is_known_infra(query)
+    entropy = F.col("_entropy")
     hits = [
         ((length > 60) & (F.col("qtype_name") == "TXT"),
          detection(TUNNEL, _json(length.alias("query_length"), F.lit("TXT").alias("qtype")))),
-        (random_name, detection(DGA_ENTROPY, _json(entropy.alias("shannon_entropy"), query))),
+        (F.coalesce(entropy > 3.8, F.lit(False)), detection(DGA_ENTROPY, _json(entropy.alias("shannon_entropy"), query))),
     ]
-    return fire(dns.where(F.col("event_type") == "dns"), hits)
+    rows = dns.where(F.col("event_type") == "dns").withColumn(
+        "_entropy", F.when(candidate, text.shannon_entropy(label)))
+    return fire(rows, hits).drop("_entropy")

@@ -20,7 +20,7 @@ def _list(values) -> str:
     return "[" + ", ".join(_q(v) for v in values) + "]"
 
 
-def _events(name: str, compress: int) -> dict[str, str]:
+def _events(compress: int) -> dict[str, str]:
     suffix = "" if compress == 60 else f"_{compress}"
     conn = f"""
     SELECT seq, t_us, user_id, kind, tenant_id, orig_h, resp_h,
@@ -52,12 +52,9 @@ def _events(name: str, compress: int) -> dict[str, str]:
     return {f"ev{suffix}": ev, f"conn{suffix}": conn, f"dns{suffix}": dns}
 
 
-def _windows(suffix: str, source: str = "conn") -> str:
-    """Trailing windows from RANGE frames, cut at the current row among equal times."""
-    return f"""
-    SELECT c.*, p.pt FROM {source}{suffix} c JOIN (
-      SELECT seq, lag(t_us) OVER (PARTITION BY orig_h, resp_h ORDER BY t_us, seq) AS pt FROM {source}{suffix}) p
-    USING (seq)"""
+def _previous(suffix: str) -> str:
+    """Connections with the time of the pair's connection before."""
+    return (f"SELECT *, lag(t_us) OVER (PARTITION BY orig_h, resp_h ORDER BY t_us, seq) AS pt FROM conn{suffix}")
 
 
 _DET = "seq, t_us, tenant_id, orig_h AS source_ip, resp_h AS destination_ip"
@@ -122,7 +119,7 @@ _TRIAGE = f"{_list(['open', 'acknowledged', 'false_positive', 'confirmed'])}[{_h
 _INC = "'INC-' || replace(source_ip, '.', '-')"
 
 CTES: dict[str, str] = {
-    **_events("", 60), **_events("", 3600), **_events("", 600),
+    **_events(60), **_events(3600), **_events(600),
     "dns_feat": f"""
     SELECT *, split_part(query, '.', 1) AS label, {_entropy("split_part(query, '.', 1)")} AS label_entropy FROM dns""",
     "det": " UNION ALL ".join([
@@ -162,9 +159,9 @@ CTES: dict[str, str] = {
     "queue": f"SELECT *, {_TRIAGE} AS triage_status FROM inc",
     "entities": f"""
     SELECT DISTINCT {_INC} AS incident_id, unnest([source_ip, destination_ip]) AS entity FROM alerts""",
-    **{f"prev{s}": _windows(s) for s in ("", "_3600")},
+    **{f"prev{s}": _previous(s) for s in ("", "_3600")},
     **{f"moves{s}": f"""
-    SELECT orig_h, resp_h, seq, t_us AS at, 1 AS ord, 1 AS c, greatest(orig_bytes, 0) AS b, 1 AS n,
+    SELECT orig_h, resp_h, seq, t_us AS at_us, 1 AS ord, 1 AS c, greatest(orig_bytes, 0) AS b, 1 AS n,
       coalesce(t_us - pt, 0) AS d, coalesce(t_us - pt, 0)::HUGEINT * coalesce(t_us - pt, 0) AS d2, t_us, TRUE AS own FROM prev{s}
     UNION ALL SELECT orig_h, resp_h, seq, t_us + 10000000, 2, -1, 0, 0, 0, 0, t_us, FALSE FROM prev{s}
     UNION ALL SELECT orig_h, resp_h, seq, t_us + 600000000, 2, 0, -greatest(orig_bytes, 0), 0, 0, 0, t_us, FALSE FROM prev{s}
@@ -179,7 +176,7 @@ CTES: dict[str, str] = {
       END AS cv
     FROM (SELECT orig_h, resp_h, seq, t_us, own, sum(c) OVER w AS c, sum(b) OVER w AS b, sum(n) OVER w AS n,
         sum(d) OVER w AS d, sum(d2) OVER w AS d2 FROM moves{s}
-      WINDOW w AS (PARTITION BY orig_h, resp_h ORDER BY at, ord, seq ROWS UNBOUNDED PRECEDING)) WHERE own""" for s in ("", "_3600")},
+      WINDOW w AS (PARTITION BY orig_h, resp_h ORDER BY at_us, ord, seq ROWS UNBOUNDED PRECEDING)) WHERE own""" for s in ("", "_3600")},
     "hits": f"""
     SELECT c.*, c.user_id % 4 = 0 AS is_botnet, c.user_id % 13 AS scenario,
       c.orig_pkts > 10000 OR (conn_state = 'REJ' AND orig_pkts >= 100) AS "RULE_DDOS_VOLUMETRIC",
@@ -290,11 +287,7 @@ def _correlation(feed: str, tail: str) -> str:
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS recorded FROM corr_n),
   corr_state AS (SELECT *, n >= 2 AND (recorded = 0 OR weight > recorded OR n = 2 OR n % 5 = 0) AS trig FROM corr_m)
 """
-    return "WITH RECURSIVE " + _with(feed_base(feed)) + ("" if feed in CTES else "") + ", " + body + tail
-
-
-def feed_base(feed: str) -> list[str]:
-    return [feed if feed in CTES else "feed"]
+    return "WITH RECURSIVE " + _with(["feed"]) + ", " + body + tail
 
 
 def _needs(sql: str) -> list[str]:
@@ -360,7 +353,6 @@ _REG = ("CASE WHEN len(list_filter(string_split(lower(rtrim({x}, '.')), '.'), la
         "array_to_string(list_slice(list_filter(string_split(lower(rtrim({x}, '.')), '.'), lambda p: p <> ''), -2, -1), '.') END")
 _DIST = "len(list_distinct(list_filter(string_split(label, ''), lambda c: c <> '')))"
 _RUN = ("list_max(list_transform(string_split(regexp_replace(label, '[^b-df-hj-np-tv-z]', ' ', 'g'), ' '), lambda r: length(r)))")
-_LAST_DEF = "label || ''"
 _AGE = "floor((43200000000 - t_us) / 1000000.0 / {d})::BIGINT::VARCHAR"
 _EV_KEYS = "json_keys(evidence)"
 _INFERRED = ("(contains(lower(x), 'score') OR contains(lower(x), 'ml_') OR contains(lower(x), 'entropy') "
@@ -580,11 +572,11 @@ def _bodies() -> dict[str, str]:
 def statements() -> dict[str, str]:
     """SQL per registered query. Model scores, and IPv6 text forms, have none."""
     out = {name: _sql(body) for name, body in _bodies().items()}
-    CTES_ROLLBACK = "(SELECT * FROM feed WHERE alert_id NOT IN (SELECT alert_id FROM feed WHERE model_name = 'RULE_RECON_PORT_SCAN'))"
+    kept = "(SELECT * FROM feed WHERE alert_id NOT IN (SELECT alert_id FROM feed WHERE model_name = 'RULE_RECON_PORT_SCAN'))"
     out["correlation_triggers"] = _correlation(
         "feed", "SELECT source_ip, anchor, n, alert_id, safe_class FROM corr_state WHERE trig")
     out["correlation_rollback"] = _correlation(
-        CTES_ROLLBACK, "SELECT source_ip, anchor, count(*) AS counted, count(*) FILTER (WHERE trig) AS triggers "
+        kept, "SELECT source_ip, anchor, count(*) AS counted, count(*) FILTER (WHERE trig) AS triggers "
         "FROM corr_state GROUP BY ALL")
     out["correlated_incidents"] = _correlation("feed", f""",
   snap AS (SELECT t.source_ip, t.anchor, t.n AS trigger_n, t.t_us AS created_us, e.model_name, e.weight, e.threat_class,
