@@ -103,22 +103,26 @@ def dns_windows(
     queries = rows.where("kind = 0").select(*keys, "t_us", "seq", "query")
     firsts = queries.join(bins.select(*keys, "session"), keys).groupBy(*_SRC, "session", "query").agg(
         F.min(F.struct("t_us", "seq")).alias("at"))
-    # Only the first names decide the (capped) statistic; the rank filter also runs before
-    # the shuffle, so a source with very many names sends a few rows per task.
-    rank = F.row_number().over(Window.partitionBy(*_SRC, "session").orderBy("at"))
-    names = firsts.withColumn("_r", rank).where(F.col("_r") <= MAX_TRACKED).groupBy(*_SRC, "session").agg(
-        F.sort_array(F.collect_list("at")).alias("_firsts"))
+    # The first time a name is asked in a session becomes a marker row just before its
+    # query, so the number of distinct names is one more running count.
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    marks = firsts.select(*_SRC, F.col("at.t_us").alias("t_us"), F.col("at.seq").alias("seq")).withColumn(
+        "bin", time_bin("t_us", gap))
+    earlier = Window.partitionBy(*_SRC, "session").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    named = marks.groupBy(*keys).agg(F.count("*").alias("_names"))
+    carried = bins.join(named, keys, "left").withColumn("name_carry", F.coalesce(F.sum("_names").over(earlier), zero))
 
     hot = scan.hot_from_counts(bins, keys, hot_rows)
-    runs = scan.running_sums(
-        rows, keys, ["t_us", "seq", "kind"], {"_resp_run": F.col("resp"), "_nx_run": F.col("nx")}, hot)
-    here = F.struct("t_us", "seq")
+    events = rows.withColumn("first", zero).unionByName(
+        marks.withColumns({"kind": F.lit(-1), "resp": zero, "nx": zero, "first": one}), allowMissingColumns=True)
+    runs = scan.running_sums(events, keys, ["t_us", "seq", "kind"], {
+        "_resp_run": F.col("resp"), "_nx_run": F.col("nx"), "_name_run": F.col("first")}, hot)
+    distinct = F.least(F.col("name_carry") + F.col("_name_run"), F.lit(MAX_TRACKED))
     at_query = (
-        runs.where("kind = 0").drop("resp", "nx", "kind").join(bins.drop("_n"), keys)
-        .join(names, [*_SRC, "session"])
+        runs.where("kind = 0").drop("resp", "nx", "kind", "first")
+        .join(carried.drop("_n", "_names", "session"), keys)
         .select(
-            *_SRC, "t_us", "seq", "query", *keep,
-            F.size(F.filter("_firsts", lambda f: f <= here)).cast("bigint").alias("distinct_domains"),
+            *_SRC, "t_us", "seq", "query", *keep, distinct.cast("bigint").alias("distinct_domains"),
             _live_count("resp", gap).alias("total_responses"), _live_count("nx", gap).alias("nxdomain_responses"),
         )
     )

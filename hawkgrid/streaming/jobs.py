@@ -21,7 +21,8 @@ _COLUMNS = ["t_us", "seq", "source_ip", "destination_ip", "event_type", *rules.D
 
 
 def _detections(rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(c) for c in _COLUMNS])
+    trace = F.col("trace_id") if "trace_id" in rows.columns else F.lit(None).cast("string")
+    return rows.select(*_COLUMNS, trace.alias("trace_id"))
 
 
 def stateless_alerts(events: DataFrame, ja4: DataFrame | list[str] | None = None) -> DataFrame:
