@@ -194,5 +194,5 @@ def normalise_ip(ip: str | Column) -> Column:
 
 def _normalise(ip: Column) -> Column:
     text = F.trim(ip)
-    out = F.when(is_ipv4(text), text).when(text.contains(":"), _normalise_v6(text))
-    return F.when(F.length(out) <= _MAX_TEXT, out)
+    v6 = let(_normalise_v6(text), lambda v: F.when(F.length(v) <= _MAX_TEXT, v))
+    return F.when(is_ipv4(text), text).when(text.contains(":"), v6)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hawkgrid.functions.severity import severity_weight
+from hawkgrid.functions.severity import effective_confidence, severity_weight
 from hawkgrid.operators.risk import detector_name, log_odds, pooled_risk
-from hawkgrid.functions.severity import effective_confidence
+from hawkgrid.session import durable
 
 DEFAULT_SOURCE = "127.0.0.1"
 
@@ -96,7 +96,7 @@ def incidents_page(alerts: DataFrame, limit: int = 100, tenant_id: int | None =
     """
     scoped = alerts if tenant_id is None else alerts.where(F.col("tenant_id") == tenant_id)
     page = scoped.orderBy(F.col("id").desc()).limit(limit)
-    page = page.withColumn("source_ip", source_of(page))
+    page = durable(page.withColumn("source_ip", source_of(page)))
     members = page.groupBy("source_ip").agg(
         F.array_distinct(F.concat(
             F.array(F.first("source_ip")), F.collect_set(F.nullif(F.col("destination_ip"), F.lit(""))))).alias("e"),

@@ -17,6 +17,7 @@ from hawkgrid.operators import alerts as al
 from hawkgrid.operators import analyst, correlate, enrich, evaluate, incidents, models, playbooks, risk, rules
 from hawkgrid.operators.conn_windows import conn_window_detections, conn_windows
 from hawkgrid.operators.dns_windows import dns_window_detections, dns_windows
+from hawkgrid.session import durable
 from hawkgrid.sources import adapters, logs, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +64,14 @@ def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumnRenamed("_id", "id").withColumn("seq", F.col("id"))
 
 
+def _table(spark, sf) -> DataFrame:
+    """The alerts as a written table, for queries that read them more than once."""
+    return durable(stored_alerts(spark, sf))
+
+
 def _alert_feed(spark, sf) -> DataFrame:
     """Stored alerts plus a second delivery of a tenth of them, half of those as replays."""
-    base = stored_alerts(spark, sf).withColumn("is_replay", F.lit(False))
+    base = _table(spark, sf).withColumn("is_replay", F.lit(False))
     again = base.where("id % 10 = 0").withColumns({
         "t_us": F.col("t_us") + RESEND_US, "is_replay": F.col("id") % 20 == 0, "seq": F.col("seq") + 10**15})
     return base.unionByName(again)
@@ -78,7 +84,7 @@ def _triage(incident_rows: DataFrame) -> DataFrame:
 
 
 def _queue(spark, sf) -> DataFrame:
-    rows = incidents.incidents_by_source(stored_alerts(spark, sf))
+    rows = durable(incidents.incidents_by_source(stored_alerts(spark, sf)))
     return analyst.with_triage(rows, _triage(rows))
 
 
@@ -250,14 +256,14 @@ def incident_entities(spark, sf):
 
 
 def incident_detail(spark, sf):
-    a = stored_alerts(spark, sf)
+    a = _table(spark, sf)
     return analyst.alerts_of_incident(incidents.incident_alerts(a), a, "INC-10-0-0-7").select(
         "alert_id", "t_us", "severity")
 
 
 def incident_queue(spark, sf):
-    a = stored_alerts(spark, sf)
-    rows = incidents.incidents_by_source(a)
+    a = _table(spark, sf)
+    rows = durable(incidents.incidents_by_source(a))
     queue = analyst.with_triage(rows, _triage(rows))
     found = analyst.incident_queue(queue, search="10.0.0.1", entities=incidents.incident_entities(a))
     return found.select("incident_id", "severity", F.round("risk_score", 1).alias("risk_score"), "triage_status")
@@ -289,7 +295,7 @@ def entity_search(spark, sf):
 
 
 def related_incidents(spark, sf):
-    a = stored_alerts(spark, sf)
+    a = _table(spark, sf)
     found = analyst.entity_search(a, "45.3.0.2").where("severity = 'critical'")
     return analyst.related_incidents(found, incidents.incidents_by_source(a)).select("incident_id", "severity")
 
@@ -311,7 +317,7 @@ def kill_chain(spark, sf):
 
 
 def health(spark, sf):
-    a = stored_alerts(spark, sf)
+    a = _table(spark, sf)
     return analyst.health(a, incidents.incidents_by_source(a), 43_260_000_000)
 
 
@@ -355,7 +361,7 @@ def _ip_intel(alerts: DataFrame) -> DataFrame:
 
 
 def enriched_alerts(spark, sf):
-    a = stored_alerts(spark, sf)
+    a = _table(spark, sf)
     out = enrich.enrich(a, _ip_intel(a))
     get = lambda k: F.get_json_object("evidence", f"$['{k}']")
     return out.select("id", get("Live GeoIP").alias("place"), get("Live ISP").alias("provider"),
@@ -454,7 +460,7 @@ def dead_letter_replay(spark, sf):
 
 
 def alert_upsert(spark, sf):
-    a = stored_alerts(spark, sf).select("tenant_id", "alert_id", "severity", "confidence_score", "id")
+    a = _table(spark, sf).select("tenant_id", "alert_id", "severity", "confidence_score", "id")
     target = a.where("id % 3 <> 0")
     update = a.where("id % 2 = 0").withColumn("severity", F.lit("high"))
     twice = update.unionByName(update.where("id % 4 = 0").withColumns({
