@@ -1,7 +1,7 @@
 """Domain classifier and flow anomaly model on Spark ML.
 
-Both keep the reference contract (inputs, windows, thresholds, confidence) with linear
-models: hashed character n-grams plus lexical shape for names, a three-component
+Inputs, windows, thresholds and confidences are fixed by the detection contract; the models are linear
+ones: hashed character n-grams plus lexical shape for names, a three-component
 projection for flows.
 """
 

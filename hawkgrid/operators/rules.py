@@ -99,7 +99,7 @@ def conn_rules(conn: DataFrame, ja4: list[str] | DataFrame | None = None) -> Dat
     hits = [
         (flood, detection(VOLUMETRIC, packets)),
         (~flood & (c["conn_state"] == "REJ") & (c["orig_pkts"] >= 100), detection(REJECT_FLOOD, packets)),
-        (small & ~F.coalesce(c["resp_p"], F.lit(0)).isin(80, 443, 53),
+        (small & (c["resp_p"].isNull() | ~c["resp_p"].isin(80, 443, 53)),
          detection(HEARTBEAT, _json(c["orig_bytes"], c["resp_bytes"],
                                     F.coalesce(c["resp_p"], F.lit(0)).alias("port")))),
         (bad_ja4, detection(JA4, _json(c["ja4"].alias("ja4_fingerprint"),

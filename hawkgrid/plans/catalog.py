@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Settings of the fixture views: time compression and lowered thresholds (events are sparse).
 COMPRESS, RATE_COMPRESS, DNS_COMPRESS = 60, 3600, 600
 RATE_MIN = 4
+FLOW_BYTES = 300_000
 # Position of a rule among the alerts of one event.
 RULE_ORDER = [
     "RULE_DDOS_VOLUMETRIC", "RULE_C2_HEARTBEAT", "RULE_TLS_JA4_MALWARE", "RULE_RECON_PORT_SCAN", "RULE_CONN_EXFIL",
@@ -287,7 +288,7 @@ def alert_page(spark, sf):
 
 
 def alert_by_id(spark, sf):
-    return analyst.alert_by_id(stored_alerts(spark, sf), "RULE_CONN_EXFIL-62").select("id", "alert_id", "t_us")
+    return analyst.alert_by_id(stored_alerts(spark, sf), "RULE_TLS_JA4_MALWARE-45").select("id", "alert_id", "t_us")
 
 
 def entity_search(spark, sf):
@@ -401,7 +402,8 @@ def packet_dns(spark, sf):
 
 def flow_windows(spark, sf):
     """Byte windows over the assembled flows: the larger input of the trailing windows."""
-    return conn_windows(packets.flows(adapters.packets_view(spark, sf))).where("is_exfil").select(
+    flows = packets.flows(adapters.packets_view(spark, sf))
+    return conn_windows(flows, bytes_min_total=FLOW_BYTES).where("is_exfil").select(
         "seq", "source_ip", "destination_ip", "total_bytes", "connection_count")
 
 
@@ -591,12 +593,12 @@ def flow_threshold_sweep(spark, sf):
 
 def ip_normal_forms(spark, sf):
     n = F.col("l_orderkey")
-    part = lambda shift: F.lower(F.hex((n * 2654435761 / shift).cast("bigint") % 65536))
-    six = F.concat(F.lit("2001:DB8:0:0:"), part(1), F.lit("::"), part(7))
+    group = lambda factor: F.hex(n * factor % 65535 + 1)
+    six = F.concat(F.lit("2001:DB8:0:0:"), group(31), F.lit("::0"), group(17))
     ip = F.when(n % 3 == 0, F.concat(F.lit("10.0."), (n % 300).cast("string"), F.lit(".1"))).when(
-        n % 3 == 1, six).otherwise(F.concat(F.lit("::ffff:10.1.2."), (n % 256).cast("string")))
-    rows = adapters.table(spark, sf, "lineitem").select(ip.alias("ip")).distinct()
-    return rows.select("ip", normalise_ip("ip").alias("normal"))
+        n % 3 == 1, six).otherwise(F.concat(F.lit("::FFFF:10.1.2."), (n % 256).cast("string")))
+    rows = adapters.table(spark, sf, "lineitem").select(n, ip.alias("ip")).distinct()
+    return rows.select("l_orderkey", normalise_ip("ip").alias("normal"))
 
 
 def queries() -> dict[str, Query]:

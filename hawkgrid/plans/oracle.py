@@ -418,7 +418,7 @@ def _bodies() -> dict[str, str]:
             count(*) FILTER (WHERE g.t_us >= f.t_us - 10000000) AS connection_count
             FROM flows f JOIN flows g ON f.orig_h = g.orig_h AND f.resp_h = g.resp_h AND g.t_us >= f.t_us - 600000000
               AND (g.t_us < f.t_us OR (g.t_us = f.t_us AND g.seq <= f.seq))
-            GROUP BY ALL HAVING sum(g.orig_bytes) >= 1000000""",
+            GROUP BY ALL HAVING sum(g.orig_bytes) >= 300000""",
         "dns_burst_distinct": f"SELECT seq, source_ip, distinct_domains FROM dns_state WHERE {reason_d}",
         "dns_burst_nxdomain": f"""SELECT seq, source_ip, distinct_domains, total_responses,
             round(nx::DOUBLE / total_responses, 6) AS nxdomain_rate FROM dns_state WHERE {reason_x}""",
@@ -460,7 +460,7 @@ def _bodies() -> dict[str, str]:
         ) + " FROM alerts WHERE tenant_id = 1",
         "alert_page": """SELECT id, alert_id, source_ip, severity FROM alerts WHERE tenant_id = 1 AND id < 5000
             ORDER BY id DESC LIMIT 50""",
-        "alert_by_id": "SELECT id, alert_id, t_us FROM alerts WHERE alert_id = 'RULE_CONN_EXFIL-62'",
+        "alert_by_id": "SELECT id, alert_id, t_us FROM alerts WHERE alert_id = 'RULE_TLS_JA4_MALWARE-45'",
         "entity_search": """SELECT id, source_ip, destination_ip FROM alerts
             WHERE source_ip = '45.3.0.2' OR destination_ip = '45.3.0.2' OR alert_id = '45.3.0.2'""",
         "related_incidents": f"""SELECT incident_id, severity FROM inc WHERE incident_id IN (SELECT {_INC} FROM alerts
@@ -560,6 +560,11 @@ def _bodies() -> dict[str, str]:
             FROM ({_with_metrics('detector', f"SELECT detector, {_cells('hit', 'is_botnet')} FROM hit_long WHERE t_us >= 21600000000 GROUP BY detector", None)}) n
             JOIN ({_with_metrics('detector', f"SELECT detector, {_cells('hit', 'is_botnet')} FROM hit_long WHERE t_us < 21600000000 GROUP BY detector", None)}) b
             USING (detector) WHERE (n."{m}" - b."{m}") * 100 {'>' if m == 'fpr' else '< -'} 0.5""" for m in ("precision", "recall", "fpr")) + ")",
+        "ip_normal_forms": """SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 3 = 0 AND l_orderkey % 300 < 256
+              THEN '10.0.' || (l_orderkey % 300)::VARCHAR || '.1'
+            WHEN l_orderkey % 3 = 1 AND l_orderkey * 17 % 65535 + 1 < 4096 THEN '2001:db8::' ||
+              lower(to_hex(l_orderkey * 31 % 65535 + 1)) || ':0:0:' || lower(to_hex(l_orderkey * 17 % 65535 + 1))
+            WHEN l_orderkey % 3 = 2 THEN '::ffff:10.1.2.' || (l_orderkey % 256)::VARCHAR END AS normal FROM lineitem""",
         "domain_overlap": f"""SELECT {_REG.replace('{x}', 'domain')} AS domain FROM hosts INTERSECT
             SELECT {_REG.replace('{x}', 'query')} FROM dns""",
         "leakage_free": """SELECT label, count(*) AS row_count, CAST(sum(orig_bytes) AS BIGINT) AS orig_bytes FROM (
@@ -570,7 +575,7 @@ def _bodies() -> dict[str, str]:
 
 
 def statements() -> dict[str, str]:
-    """SQL per registered query. Model scores, and IPv6 text forms, have none."""
+    """SQL per registered query; the four model queries have none."""
     out = {name: _sql(body) for name, body in _bodies().items()}
     kept = "(SELECT * FROM feed WHERE alert_id NOT IN (SELECT alert_id FROM feed WHERE model_name = 'RULE_RECON_PORT_SCAN'))"
     out["correlation_triggers"] = _correlation(
