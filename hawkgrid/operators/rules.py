@@ -47,30 +47,37 @@ DETECTION_FIELDS = [
 ]
 
 
-def detection(rule: Rule, evidence: Column, confidence: Column | None = None) -> Column:
-    """The detection struct of a rule; evidence is stored as JSON text."""
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.threat_class).alias("threat_class"),
-        F.lit(rule.severity).alias("severity"),
-        (F.lit(rule.confidence) if confidence is None else confidence).alias("confidence"),
-        evidence.alias("evidence"),
-        F.lit(rule.mitre_tactic).cast("string").alias("mitre_tactic"),
-        F.lit(rule.mitre_technique).cast("string").alias("mitre_technique"),
-    )
-
-
-def fire(df: DataFrame, hits: list[tuple[Column, Column]]) -> DataFrame:
+def detection(rule: Rule, evidence: Column, confidence: Column | None = None) -> dict[str, Column]:
+    """The detection columns of a rule; evidence is JSON text."""
+    return {
+        "rule_id": F.lit(rule.rule_id), "threat_class": F.lit(rule.threat_class), "severity": F.lit(rule.severity),
+        "confidence": F.lit(rule.confidence) if confidence is None else confidence, "evidence": evidence,
+        "mitre_tactic": F.lit(rule.mitre_tactic).cast("string"),
+        "mitre_technique": F.lit(rule.mitre_technique).cast("string"),
+    }
+
+
+def fire(df: DataFrame, hits: list[tuple[Column, dict[str, Column]]], prefilter: bool = True) -> DataFrame:
     """One row per (input row, rule that holds).
 
-    Rows on which nothing holds are filtered first, so the disjunction can reach the
-    scan and only hit rows build detection structs.
+    Only rule numbers are exploded. The detection columns are built afterwards, so a query
+    that does not read the evidence never builds it. With ``prefilter`` rows on which
+    nothing holds are filtered first, so that the disjunction can reach the scan; leave
+    it out where the conditions are expensive, to evaluate them once.
     """
-    any_hit = reduce(or_, [cond for cond, _ in hits])
-    fired = F.array_compact(F.array(*[F.when(cond, det) for cond, det in hits]))
-    return df.where(any_hit).withColumn("_det", F.explode(fired)).select(
-        *df.columns, *[F.col(f"_det.{f}").alias(f) for f in DETECTION_FIELDS]
-    )
+    columns = df.columns
+    if prefilter:
+        df = df.where(reduce(or_, [cond for cond, _ in hits]))
+    numbers = F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(hits)]))
+    fired = df.withColumn("_hit", F.explode_outer(numbers)).where("_hit is not null")
+
+    def field(name: str) -> Column:
+        out = F.when(F.col("_hit") == 0, hits[0][1][name])
+        for i, (_, det) in enumerate(hits[1:], start=1):
+            out = out.when(F.col("_hit") == i, det[name])
+        return out.alias(name)
+
+    return fired.select(*columns, *[field(f) for f in DETECTION_FIELDS])
 
 
 def _json(*cols: Column) -> Column:
@@ -127,4 +134,4 @@ def dns_rules(dns: DataFrame) -> DataFrame:
     ]
     rows = dns.where(F.col("event_type") == "dns").withColumn(
         "_entropy", F.when(candidate, text.shannon_entropy(label)))
-    return fire(rows, hits).drop("_entropy")
+    return fire(rows, hits, prefilter=False).drop("_entropy")
