@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,30 +29,34 @@ def local_session(app: str = "hawkgrid", cores: str = "8", shuffle_partitions: i
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a ``local[...]`` session, where driver and executors share one disk, may
-    fall back to a temporary folder; on a cluster a missing setting is an error.
+    Only a ``local[...]`` session, where driver and executors are one process on one
+    disk, may fall back to a temporary folder, which goes when the driver ends; on any
+    cluster (``local-cluster`` included) a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        # getCheckpointDir reports the per-application subfolder, so compare by prefix.
-        current = sc.getCheckpointDir()
-        if current is None or configured.rstrip("/") not in current:
-            sc.setCheckpointDir(configured)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        return configured.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hawkgrid-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="hawkgrid-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(f"file://{folder}")
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` to the shared folder as Parquet and continue from the files.
 
     Needed where a later step must see exactly the same rows again (sampled range
-    bounds, iterative joins), also after an executor is lost.
+    bounds, iterative joins), also after an executor is lost. Unlike an RDD checkpoint the
+    files are columnar and compressed, and later filters and column selections reach them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
