@@ -65,11 +65,12 @@ class WordEncoder:
         whole, words, found = {}, [], []
         for at, text in enumerate(texts):
             text = text or b""
-            if any(mark in text for mark in self.marks):
+            folded = text.lower() if self.fold else text
+            if any(mark in folded for mark in self.marks):
                 ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
                 whole[at] = np.array(ids, "<u4").tobytes()
-                text = b""
-            words.append((text.lower() if self.fold else text).split())
+                folded = b""
+            words.append(folded.split())
         if len(self.known) > _MAX_WORDS:
             self.known.clear()
         self._learn(list({w for ws in words for w in ws if w not in self.known}))
@@ -212,7 +213,7 @@ def write_token_files(
                     path = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex}.zst"
                     files, local = _open(path)
                     files.create_dir(local.rpartition("/")[0], recursive=True)
-                    out = files.open_output_stream(local)
+                    out = files.open_output_stream(local, compression=None)
                     writer, coder = FrameWriter(out), encoder(tokenizer)
                 ids, texts = part.column(0).to_pylist(), utf8(part.column(1))
                 for low in range(0, len(ids), 1000):
