@@ -8,17 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import line_dedup, mixing, piece_codec
-from hawkgrid.llm.common import table
+from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, piece_codec
+from hawkgrid.llm.common import key_of, table
+from hawkgrid.llm.queries import trusted
 from hawkgrid.session import shared_folder
 
 
+def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is not above their language's threshold; empty ones go."""
+    return kneser_ney.keep_good(docs, trusted(spark, sf_dir))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in several documents stay in the first only. ``n_chars`` follows the text."""
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies, once; rows without an id stay."""
+    groups = ngram_join.jaccard_components(docs).where("doc_id = component_id").select(key_of().alias("_doc")).distinct()
+    columns = docs.columns
+    held = docs.select(key_of().alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"))
+    numbered = held.where(F.col("_all.doc_id").isNotNull()).join(groups, "_doc").dropDuplicates(["_doc"])
+    return numbered.unionByName(held.where(F.col("_all.doc_id").isNull())).select(*[F.col("_all")[c].alias(c) for c in columns])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights; one that fills several epochs occurs as often."""
     sized = mixing.with_domain(docs).withColumn("n_tokens", mixing.word_count())
@@ -34,7 +49,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", keep_good_text),
     ("line dedup", drop_repeated_lines),
+    ("n-gram join", one_of_each_group),
     ("source mixing", mix_sources),
     ("piece encoding", encode),
 ]

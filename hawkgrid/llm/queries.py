@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import line_dedup, mixing, piece_codec, token_file
+from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, piece_codec, token_file
 from hawkgrid.llm.common import table
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the labels call good: the text the quality model learns from."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir)).drop("text_hash")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), counts=True)
@@ -39,6 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_codec.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -52,8 +65,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
         "op7_mixing": op7_mixing,
+        "op8_ngram_join": op8_ngram_join,
         "op9_pieces": op9_pieces,
         "op10_token_file": op10_token_file,
     }
