@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, piece_codec, token_file
+from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, piece_codec, token_file, weak_rules
 from hawkgrid.llm.common import table
 
 
@@ -42,6 +42,13 @@ FROM m GROUP BY doc_id
 """
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("quality", 6).alias("quality"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_domain(table(spark, sf_dir, "documents")).withColumn("n_tokens", mixing.word_count())
     mixed = mixing.mix(docs.select("doc_id", "domain", "lang", "source", "n_tokens"), mixing.DEFAULT_WEIGHTS)
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
+        "op5_rules": op5_rules,
         "op7_mixing": op7_mixing,
         "op8_ngram_join": op8_ngram_join,
         "op9_pieces": op9_pieces,
