@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkgrid.llm.common import batches, components, shuffle_partitions, utf8
@@ -272,36 +273,62 @@ def block_product(one: tuple, two: tuple, threshold: float) -> np.ndarray:
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_BLOCK = "block long, ids binary, sizes binary, hashes binary, columns array<long>"
+_BLOCK = "place long, share double, ids binary, sizes binary, hashes binary, columns array<long>"
+_BLOCK_BYTES = 32 << 20
 
 
 def _row_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as they come, in blocks: row, set, columns."""
-    import uuid
-
+    """Rows as they come, in blocks: row, set, columns. ``place`` orders the blocks, ``share`` is the part of a full one."""
     held: list[tuple] = []
+    place, size = TaskContext.get().partitionId() << 32, 0
 
     def block():
         sets = [np.frombuffer(s, np.uint64) for _, s, _ in held]
         wide = sorted({c for _, _, columns in held for c in columns})
         return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([np.array([r for r, _, _ in held], np.int64).tobytes()], pa.binary()),
+            [pa.array([place], pa.int64()), pa.array([max(len(held) / ROW_BLOCK, size / _BLOCK_BYTES)]),
+             pa.array([np.array([r for r, _, _ in held], np.int64).tobytes()], pa.binary()),
              pa.array([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()),
              pa.array([np.concatenate(sets).tobytes()], pa.binary()), pa.array([wide], pa.list_(pa.int64()))],
-            names=["block", "ids", "sizes", "hashes", "columns"])
+            names=["place", "share", "ids", "sizes", "hashes", "columns"])
 
-    size = 0
     for part in parts:
         for row in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
             held.append(row)
             size += len(row[1])
-            if len(held) >= ROW_BLOCK or size >= 32 << 20:
+            if len(held) >= ROW_BLOCK or size >= _BLOCK_BYTES:
                 yield block()
-                held, size = [], 0
+                held, size, place = [], 0, place + 1
     if held:
         yield block()
 
 
+def _filled(blocks: DataFrame) -> DataFrame:
+    """Neighbouring blocks that are not full, put together: (block, ids, sizes, hashes, columns).
+
+    Otherwise there would be a block, and its products with all others, for every partition.
+    """
+    # One short row per block.
+    before = F.sum("share").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    group = blocks.select("place", F.floor(F.coalesce(before, F.lit(0.0))).cast("long").alias("block"))
+
+    def merge(parts):
+        held: dict[int, list] = {}
+        for part in parts:
+            for block, *rest in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                held.setdefault(block, []).append(rest)
+        for block, found in held.items():
+            found.sort(key=lambda x: x[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), *(pa.array([b"".join(x[k] for x in found)], pa.binary()) for k in (1, 2, 3)),
+                 pa.array([sorted({c for x in found for c in x[4]})], pa.list_(pa.int64()))],
+                names=["block", "ids", "sizes", "hashes", "columns"])
+
+    n = shuffle_partitions(blocks.sparkSession)
+    return blocks.join(group, "place").select("block", "place", "ids", "sizes", "hashes", "columns").repartitionById(
+        n, F.pmod("block", F.lit(n)).cast("int")).mapInArrow(merge, "block long, ids binary, sizes binary, hashes binary, columns array<long>")
+
+
 def _product(threshold: float):
     def run(parts):
         for part in parts:
@@ -319,9 +346,9 @@ def _wide_links(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     spark = wide.sparkSession
     own = wide.groupBy(F.col("a").alias("row")).agg(F.collect_set("wide").alias("columns"))
     rows = sets.join(own, "row").select("row", "set", "columns", F.array_min("columns").alias("_at"))
-    blocks = durable(
+    blocks = durable(_filled(durable(
         rows.repartitionByRange(shuffle_partitions(spark), "_at", "row").sortWithinPartitions("_at", "row")
-        .select("row", "set", "columns").mapInArrow(_row_blocks, _BLOCK))
+        .select("row", "set", "columns").mapInArrow(_row_blocks, _BLOCK))))
     by_column = blocks.select("block", F.explode("columns").alias("c"))
     meet = by_column.join(by_column.select(F.col("block").alias("other"), "c"), "c").where("block <= other").select("block", "other").distinct()
     other = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "hashes")])

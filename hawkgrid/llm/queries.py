@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, piece_codec, token_file, weak_rules
+from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, pii, piece_codec, token_file, toxicity, weak_rules
 from hawkgrid.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "neighbours", "nearest", "evidence")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the labels call good: the text the quality model learns from."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -72,6 +83,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_pii": op2_pii,
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_rules": op5_rules,
