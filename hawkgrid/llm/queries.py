@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import kneser_ney, line_dedup, mixing, ngram_join, pii, piece_codec, token_file, toxicity, weak_rules
+from hawkgrid.llm import cover_tree, kneser_ney, line_dedup, mixing, ngram_join, pii, piece_codec, token_file, toxicity, weak_rules
 from hawkgrid.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("quality", 6).alias("quality"))
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_domain(table(spark, sf_dir, "documents")).withColumn("n_tokens", mixing.word_count())
     mixed = mixing.mix(docs.select("doc_id", "domain", "lang", "source", "n_tokens"), mixing.DEFAULT_WEIGHTS)
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_rules": op5_rules,
+        "op6_cover_tree": op6_cover_tree,
         "op7_mixing": op7_mixing,
         "op8_ngram_join": op8_ngram_join,
         "op9_pieces": op9_pieces,
