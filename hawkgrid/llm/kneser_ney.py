@@ -286,9 +286,10 @@ def classify(
     at = F.percentile_approx("perplexity", [0.5, quantile], 10_000)
     middle, limit = at[0].alias("_middle"), (at[1] + margin * (at[1] - at[0])).alias("_limit")
     # One row per language with enough trusted documents.
-    by_lang = sure.where("lang is not null").groupBy("lang").agg(middle, limit, F.count("*").alias("_n")).where(F.col("_n") >= min_trusted)
+    by_lang = durable(sure.where("lang is not null").groupBy("lang").agg(middle, limit, F.count("*").alias("_n")).where(F.col("_n") >= min_trusted).drop("_n"))
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
     overall = sure.agg(middle, limit).first()
-    out = scored.join(by_lang.drop("_n"), "lang", "left").withColumns({
+    out = scored.join(by_lang, "lang", "left").withColumns({
         "threshold": F.coalesce("_limit", F.lit(overall["_limit"]).cast("double")),
         "_middle": F.coalesce("_middle", F.lit(overall["_middle"]).cast("double"))})
     size = F.col("n_chars") + 1

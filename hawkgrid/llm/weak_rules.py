@@ -22,7 +22,7 @@ from hawkgrid.session import durable
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-ITERATIONS, KEEP_FROM = 15, 0.5
+ITERATIONS, KEEP_FROM = 15, 0.1
 # First guesses: most texts are good, a rule seldom blames a good one, and finds only some kinds of bad ones.
 FIRST_GOOD, FIRST_ON_GOOD, FIRST_ON_BAD = 0.8, 0.995, 0.15
 
@@ -45,7 +45,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "capitals": (upper <= 0.2, upper > 0.5),
         "shouting": (ends <= 0.02, ends > 0.2),
         "vocabulary": ((words >= 50) & (distinct >= 0.3), (words >= 50) & (distinct < 0.1)),
-        "letters": (letters >= 0.8, (words >= 30) & (letters < 0.6)),
+        "letters": (letters >= 0.94, (words >= 30) & (letters < 0.9)),
         "length": (words >= 30, words < 5),
     }
 
@@ -86,8 +86,9 @@ def features(docs: DataFrame) -> DataFrame:
     last = F.size("_w") - WINDOW
     windows = F.when(last >= 0, F.transform(
         F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda k: F.xxhash64(F.slice(F.col("_w"), k + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("long")
+        lambda k: F.xxhash64(*[F.get("_w", k + i) for i in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    # Lengths instead of lists of matches.
+    count = lambda pattern: (F.length("_t") - F.length(F.regexp_replace("_t", f"{pattern}+", ""))).cast("long")
     return cut.withColumn("_h", windows).select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
@@ -119,30 +120,30 @@ def estimate(counted: DataFrame, iterations: int = ITERATIONS) -> tuple[float, l
     n_rules = len(rules())
     good, accuracies = FIRST_GOOD, [(FIRST_ON_GOOD, FIRST_ON_BAD)] * n_rules
     for _ in range(iterations):
-        p = posterior(good, accuracies)
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * p).alias("good")]
-        for k in range(n_rules):
-            vote = F.col("votes")[k]
-            sums += [F.sum(F.when(vote == 1, F.col("n") * p)).alias(f"good_right{k}"), F.sum(F.when(vote != 0, F.col("n") * p)).alias(f"good_voted{k}"),
-                     F.sum(F.when(vote == -1, F.col("n") * (1 - p))).alias(f"bad_right{k}"),
-                     F.sum(F.when(vote != 0, F.col("n") * (1 - p))).alias(f"bad_voted{k}")]
-        row = counted.agg(*sums).first()
-        if not row["n"]:
+        judged = counted.select("n", posterior(good, accuracies).alias("p"), F.posexplode("votes").alias("rule", "vote"))
+        good_n, bad_n = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+        found = {r["rule"]: r for r in judged.groupBy("rule").agg(  # one row per rule
+            F.sum("n").alias("n"), F.sum(good_n).alias("good"),
+            F.sum(F.when(F.col("vote") == 1, good_n)).alias("good_right"), F.sum(F.when(F.col("vote") != 0, good_n)).alias("good_voted"),
+            F.sum(F.when(F.col("vote") == -1, bad_n)).alias("bad_right"), F.sum(F.when(F.col("vote") != 0, bad_n)).alias("bad_voted")).collect()}
+        if not found:
             break
-        good = (row["good"] + 1) / (row["n"] + 2)
+        good = (found[0]["good"] + 1) / (found[0]["n"] + 2)
         accuracies = []
         for k in range(n_rules):
-            on_good, on_bad = (((row[f"{c}_right{k}"] or 0) + 1) / ((row[f"{c}_voted{k}"] or 0) + 2) for c in ("good", "bad"))
+            on_good, on_bad = (((found[k][f"{c}_right"] or 0) + 1) / ((found[k][f"{c}_voted"] or 0) + 2) for c in ("good", "bad"))
             accuracies.append((max(on_good, 1 - on_bad), on_bad))
     return good, accuracies
 
 
 def posterior(good: float, accuracies: list[tuple[float, float]]) -> Column:
-    """Probability of a good text given ``votes``, by log-odds of independent rules."""
-    total = F.lit(math.log(good / (1 - good)))
-    for k, (on_good, on_bad) in enumerate(accuracies):
-        vote = F.col("votes")[k]
-        total = total + F.when(vote == 1, math.log(on_good / (1 - on_bad))).when(vote == -1, math.log((1 - on_good) / on_bad)).otherwise(0.0)
+    """Probability of a good text given ``votes``, by log-odds of independent rules.
+
+    The odds of each rule's votes are array constants, so the compiled code is the same for every estimate.
+    """
+    odds = F.array(*[F.array(F.lit(math.log((1 - g) / b)), F.lit(0.0), F.lit(math.log(g / (1 - b)))) for g, b in accuracies])
+    each = F.zip_with("votes", odds, lambda vote, o: F.get(o, vote.cast("int") + 1))
+    total = F.aggregate(each, F.array(F.lit(math.log(good / (1 - good))))[0], lambda a, x: a + x)
     return 1 / (1 + F.exp(-total))
 
 
