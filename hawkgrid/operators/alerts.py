@@ -18,7 +18,6 @@ REQUIRED = [
     "timestamp", "alert_id", "event_type", "threat_class", "confidence_score", "severity", "source_ip",
     "schema_version",
 ]
-MAX_EVIDENCE = 65536
 
 
 def _or_default(value: Column, default: str) -> Column:
@@ -123,12 +122,16 @@ def upsert(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
 
 
 def replay_dead_letters(lines: DataFrame, limit: int | None = None, column: str = "value") -> DataFrame:
-    """Alerts inside dead-letter lines, marked as replays; unusable lines are skipped."""
+    """Alerts inside dead-letter lines as JSON text, with ``is_replay`` set; unusable lines are skipped.
+
+    The flag lets a replayed alert pass the repeat check of the correlation (``mark_replay`` carries it over to
+    the parsed alerts).
+    """
     raw = F.col(column)
     is_object = F.json_object_keys(raw).isNotNull()
     alert = F.get_json_object(raw, "$.alert")
     found = lines.where(is_object & F.array_contains(F.json_object_keys(raw), "alert")).select(
-        alert.alias("value"), F.get_json_object(raw, "$.error").alias("original_error"))
+        alert.alias("value"), F.get_json_object(raw, "$.error").alias("original_error"), F.lit(True).alias("is_replay"))
     return found if limit is None else found.limit(limit)
 
 

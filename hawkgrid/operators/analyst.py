@@ -79,19 +79,30 @@ def entity_search(alerts: DataFrame, term: str) -> DataFrame:
 
 def related_incidents(found: DataFrame, incidents: DataFrame) -> DataFrame:
     """Incidents of the sources seen in a search result."""
-    ids = found.select(incident_id(source_of(found)).alias("incident_id"))
-    return incidents.join(ids, "incident_id", "left_semi")
+    keys = _shared(["incident_id"], found, incidents)
+    ids = found.select(*keys[:-1], incident_id(source_of(found)).alias("incident_id"))
+    return incidents.join(ids, keys, "left_semi")
 
 
-def alerts_of_incident(members: DataFrame, alerts: DataFrame, incident: str) -> DataFrame:
-    """The alerts behind one incident, through the membership table."""
-    return alerts.join(members.where(F.col("incident_id") == incident), "alert_id", "left_semi")
+def _shared(keys: list[str], *tables: DataFrame) -> list[str]:
+    """Join keys, with the tenant where all tables have one: two tenants may use the same addresses."""
+    return (["tenant_id"] if all("tenant_id" in t.columns for t in tables) else []) + keys
+
+
+def alerts_of_incident(
+    members: DataFrame, alerts: DataFrame, incident: str, tenant_id: int | None = None,
+) -> DataFrame:
+    """The alerts behind one incident (of one tenant, if given), through the membership table."""
+    own = members.where(F.col("incident_id") == incident)
+    own = own if tenant_id is None else own.where(F.col("tenant_id") == tenant_id)
+    return alerts.join(own, _shared(["alert_id"], own, alerts), "left_semi")
 
 
 def with_triage(incidents: DataFrame, triage: DataFrame) -> DataFrame:
     """Add the current triage status, ``open`` when nobody has touched the incident."""
-    status = triage.select("incident_id", F.col("status").alias("triage_status"))
-    return incidents.join(status, "incident_id", "left").withColumn(
+    keys = _shared(["incident_id"], incidents, triage)
+    status = triage.select(*keys, F.col("status").alias("triage_status"))
+    return incidents.join(status, keys, "left").withColumn(
         "triage_status", F.coalesce("triage_status", F.lit(OPEN)))
 
 
@@ -130,9 +141,10 @@ def incident_queue(
         if entities is None:
             out = out.where(_contains(text, search))
         else:
-            hits = entities.where(_contains(F.col("entity"), search)).select("incident_id").distinct()
+            keys = _shared(["incident_id"], out, entities)
+            hits = entities.where(_contains(F.col("entity"), search)).select(*keys).distinct()
             hits = hits.withColumn("_entity_hit", F.lit(True))
-            out = out.join(hits, "incident_id", "left").where(
+            out = out.join(hits, keys, "left").where(
                 _contains(text, search) | F.col("_entity_hit").isNotNull()).drop("_entity_hit")
     return out.orderBy(F.col("risk_score").desc(), F.col("first_seen_us").desc(), "incident_id")
 

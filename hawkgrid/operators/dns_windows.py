@@ -17,8 +17,6 @@ from hawkgrid.operators.rules import DNS_BURST, DNS_NXDOMAIN, detection, fire
 from hawkgrid.session import durable
 
 SECOND = 1_000_000
-# Fixed value: the reported number of distinct names stops here.
-MAX_TRACKED = 200
 _SRC = ["source_ip"]
 
 
@@ -117,7 +115,7 @@ def dns_windows(
         marks.withColumns({"kind": F.lit(-1), "resp": zero, "nx": zero, "first": one}), allowMissingColumns=True)
     runs = scan.running_sums(events, keys, ["t_us", "seq", "kind"], {
         "_resp_run": F.col("resp"), "_nx_run": F.col("nx"), "_name_run": F.col("first")}, hot)
-    distinct = F.least(F.col("name_carry") + F.col("_name_run"), F.lit(MAX_TRACKED))
+    distinct = F.col("name_carry") + F.col("_name_run")
     at_query = (
         runs.where("kind = 0").drop("resp", "nx", "kind", "first")
         .join(carried.drop("_n", "_names", "session"), keys)

@@ -73,17 +73,19 @@ def incidents_by_source(alerts: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def incident_alerts(alerts: DataFrame) -> DataFrame:
-    """Membership table: which alert belongs to which incident."""
+    """Membership table: which alert belongs to which incident, per tenant where alerts have one."""
+    tenant = [c for c in ("tenant_id",) if c in alerts.columns]
     return alerts.where("coalesce(alert_id, '') <> ''").select(
-        incident_id(source_of(alerts)).alias("incident_id"), "alert_id")
+        *tenant, incident_id(source_of(alerts)).alias("incident_id"), "alert_id")
 
 
 def incident_entities(alerts: DataFrame) -> DataFrame:
-    """Membership table: the distinct addresses an incident touches."""
+    """Membership table: the distinct addresses an incident touches, per tenant where alerts have one."""
     source = source_of(alerts)
+    tenant = [c for c in ("tenant_id",) if c in alerts.columns]
     return (
         alerts.select(
-            incident_id(source).alias("incident_id"),
+            *tenant, incident_id(source).alias("incident_id"),
             F.explode(F.array(source, F.col("destination_ip"))).alias("entity"))
         .where("coalesce(entity, '') <> ''").distinct()
     )

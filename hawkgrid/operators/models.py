@@ -82,9 +82,13 @@ def _features(names: DataFrame, column: str) -> DataFrame:
 
 
 def fit_domain_model(labelled: DataFrame, hash_features: int = 4096, seed: int = 7) -> tuple[PipelineModel, float]:
-    """Train on ``domain, label`` (1.0 generated, 0.0 benign); returns model and held-out accuracy."""
+    """Train on ``domain, label`` (1.0 generated, 0.0 benign); returns model and held-out accuracy.
+
+    A name longer than a window gives one row per window, as in scoring.
+    """
+    whole = F.array(sanitise_domain(F.lower("domain")))
     data = _features(labelled.select(
-        F.substring(sanitise_domain(F.lower("domain")), 1, 35).alias("text"), "label").where("text <> ''"), "text")
+        F.explode(character_windows(whole)).alias("text"), "label").where("text <> ''"), "text")
     train, test = data.randomSplit([0.8, 0.2], seed=seed)
     stages = [
         NGram(n=2, inputCol="chars", outputCol="pairs"), NGram(n=3, inputCol="chars", outputCol="triples"),

@@ -220,6 +220,12 @@ def dns_burst_distinct(spark, sf):
     return w.where("reason = 'distinct_domain_burst'").select("seq", "source_ip", "distinct_domains")
 
 
+def dns_burst_large(spark, sf):
+    """A limit far above what one window usually holds: the decision needs the true count."""
+    w = dns_windows(_dns(spark, sf, DNS_COMPRESS), window_s=3600.0, distinct_min=300)
+    return w.where("reason = 'distinct_domain_burst'").select("seq", "source_ip", "distinct_domains")
+
+
 def dns_burst_nxdomain(spark, sf):
     w = dns_windows(_dns(spark, sf, DNS_COMPRESS))
     return w.where("reason = 'high_nxdomain_rate'").select(
@@ -249,11 +255,20 @@ def incidents_page(spark, sf):
 
 
 def incident_members(spark, sf):
-    return incidents.incident_alerts(stored_alerts(spark, sf))
+    return incidents.incident_alerts(stored_alerts(spark, sf).drop("tenant_id"))
 
 
 def incident_entities(spark, sf):
-    return incidents.incident_entities(stored_alerts(spark, sf))
+    return incidents.incident_entities(stored_alerts(spark, sf).drop("tenant_id"))
+
+
+def tenant_queue(spark, sf):
+    """Tenants with equal addresses: each incident gets its own tenant's status."""
+    rows = durable(incidents.incidents_by_source(stored_alerts(spark, sf), ("tenant_id",)))
+    number = F.conv(F.substring(F.md5("incident_id"), 1, 4), 16, 10).cast("bigint") + F.col("tenant_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in analyst.STATUSES]), (number % 4 + 1).cast("int"))
+    triage = rows.select("tenant_id", "incident_id", status.alias("status"))
+    return analyst.with_triage(rows, triage).select("tenant_id", "incident_id", "triage_status")
 
 
 def incident_detail(spark, sf):
@@ -606,8 +621,8 @@ def queries() -> dict[str, Query]:
         rules_conn, rules_dns, ja4_table, dns_features, flow_features, lexical_features, name_variants,
         character_windows, flow_vectors, registrable_domains, zeek_states, display_columns, evidence_split,
         conn_rate, bulk_exfil, beacon_periodic, conn_window_alerts, flow_windows,
-        dns_burst_distinct, dns_burst_nxdomain, dns_window_alerts,
-        risk_score, incidents_by_source, incidents_page, incident_members, incident_entities, incident_detail,
+        dns_burst_distinct, dns_burst_large, dns_burst_nxdomain, dns_window_alerts,
+        risk_score, incidents_by_source, incidents_page, incident_members, incident_entities, tenant_queue, incident_detail,
         incident_queue, console_queue, queue_kpis, severity_stats, alert_page, alert_by_id, entity_search,
         related_incidents, timeline, talkers, threat_distribution, kill_chain, health,
         correlation_triggers, correlated_incidents, correlation_rollback,

@@ -204,7 +204,7 @@ CTES: dict[str, str] = {
           CASE WHEN t_us - lag(t_us) OVER (PARTITION BY orig_h ORDER BY t_us, seq) <= 60000000 THEN 0 ELSE 1 END AS o
         FROM dns_600 WHERE {cond}))""" for name, cond in (("resp_n", "TRUE"), ("nx_n", "rcode = 3"))},
     "dns_state": """
-    SELECT q.source_ip, q.t_us, q.seq, least(q.distinct_n, 200)::BIGINT AS distinct_domains,
+    SELECT q.source_ip, q.t_us, q.seq, q.distinct_n::BIGINT AS distinct_domains,
       coalesce(CASE WHEN q.t_us - r.t_us <= 60000000 THEN r.n END, 0)::BIGINT AS total_responses,
       coalesce(CASE WHEN q.t_us - x.t_us <= 60000000 THEN x.n END, 0)::BIGINT AS nx
     FROM dns_n q
@@ -420,6 +420,13 @@ def _bodies() -> dict[str, str]:
               AND (g.t_us < f.t_us OR (g.t_us = f.t_us AND g.seq <= f.seq))
             GROUP BY ALL HAVING sum(g.orig_bytes) >= 300000""",
         "dns_burst_distinct": f"SELECT seq, source_ip, distinct_domains FROM dns_state WHERE {reason_d}",
+        "dns_burst_large": """WITH q AS (
+              SELECT orig_h AS source_ip, t_us, seq, query, CASE WHEN t_us - lag(t_us) OVER w <= 3600000000 THEN 0 ELSE 1 END AS opens
+              FROM dns_600 WINDOW w AS (PARTITION BY orig_h ORDER BY t_us, seq)),
+            s AS (SELECT *, sum(opens) OVER (PARTITION BY source_ip ORDER BY t_us, seq) AS session FROM q),
+            f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_ip, session, query ORDER BY t_us, seq) = 1 THEN 1 ELSE 0 END AS one FROM s),
+            d AS (SELECT seq, source_ip, sum(one) OVER (PARTITION BY source_ip, session ORDER BY t_us, seq)::BIGINT AS distinct_domains FROM f)
+            SELECT * FROM d WHERE distinct_domains >= 300""",
         "dns_burst_nxdomain": f"""SELECT seq, source_ip, distinct_domains, total_responses,
             round(nx::DOUBLE / total_responses, 6) AS nxdomain_rate FROM dns_state WHERE {reason_x}""",
         "dns_window_alerts": f"""SELECT seq, 'RULE_DNS_QUERY_BURST' AS rule_id, CASE WHEN {reason_d} THEN 'high' ELSE 'medium' END
@@ -445,6 +452,9 @@ def _bodies() -> dict[str, str]:
             USING (source_ip) GROUP BY source_ip""",
         "incident_members": f"SELECT {_INC} AS incident_id, alert_id FROM alerts",
         "incident_entities": "SELECT incident_id, entity FROM entities",
+        "tenant_queue": f"""SELECT tenant_id, incident_id, {_list(['open', 'acknowledged', 'false_positive', 'confirmed'])}[
+            (('0x' || substr(md5(incident_id), 1, 4))::BIGINT + tenant_id) % 4 + 1] AS triage_status
+            FROM (SELECT DISTINCT tenant_id, {_INC} AS incident_id FROM alerts)""",
         "incident_detail": "SELECT alert_id, t_us, severity FROM alerts WHERE source_ip = '10.0.0.7'",
         "incident_queue": """SELECT incident_id, severity, round(risk_score, 1) AS risk_score, triage_status FROM queue
             WHERE triage_status <> 'false_positive' AND (contains(lower(incident_id || ' ' || threat_classes), '10.0.0.1')

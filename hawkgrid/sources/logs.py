@@ -38,26 +38,35 @@ def log_type(file: Column) -> Column:
     return F.regexp_extract(file, r"([a-z_]+)[^/]*$", 1)
 
 
-def parse_events(lines: DataFrame, sensor_id: str = "sensor", event_type: Column | None = None) -> DataFrame:
+def parse_events(
+    lines: DataFrame, sensor_id: str = "sensor", event_type: Column | None = None, tenant_id: int | None = None,
+) -> DataFrame:
     """Parse lines, tag them, and record why a line is unusable in ``error``.
 
     A line needs to be a JSON object with ``ts`` and at most 5 MB; blank lines are skipped.
-    An ``event_type`` inside the line wins only for topics; for files the name decides.
+    An ``event_type`` inside the line wins only for topics (lines with ``offset``); for files the name decides,
+    and the line is asked only where the name tells nothing. The tenant belongs to the sensor: what a
+    line says about it is ignored. ``seq`` is a line's own number or, where it has none, a hash of file,
+    ``uid``, ``ts`` and the line: the same on every run, so ids made from it stay the same, too.
     """
     raw = F.trim(F.col("value"))
     parsed = lines.where(F.length(raw) > 0).select(
         raw.alias("raw_payload"), F.from_json(raw, RAW_EVENT, {"mode": "PERMISSIVE"}).alias("_e"),
         F.json_object_keys(raw).alias("_keys"), *[c for c in lines.columns if c != "value"])
-    kind = event_type if event_type is not None else F.coalesce(F.col("_e.event_type"), log_type(F.col("file")))
+    inside, outside = F.col("_e.event_type"), F.nullif(log_type(F.col("file")), F.lit(""))
+    by_place = F.coalesce(inside, outside) if "offset" in lines.columns else F.coalesce(outside, inside)
+    kind = event_type if event_type is not None else by_place
+    own = F.xxhash64("file", F.col("_e.uid"), F.col("_e.ts"), "raw_payload") if "file" in lines.columns else F.xxhash64("raw_payload")
     error = (
         F.when(F.octet_length("raw_payload") > MAX_PAYLOAD, "Payload exceeds 5MB")
         .when(F.col("_keys").isNull(), "Malformed JSON")
         .when(~F.array_contains("_keys", "ts"), "Missing required fields (ts)")
         .when(F.col("_e.ts").isNull(), "Unreadable ts")
     )
-    plain = [f.name for f in RAW_EVENT.fields if f.name not in ("event_type",) and "." not in f.name]
+    plain = [f.name for f in RAW_EVENT.fields if f.name not in ("event_type", "tenant_id", "seq") and "." not in f.name]
     return parsed.select(
         *[F.col(f"_e.{c}").alias(c) for c in plain],
+        F.coalesce(F.col("_e.seq"), own).alias("seq"), F.lit(tenant_id).cast("bigint").alias("tenant_id"),
         F.col("_e.`id.orig_h`").alias("orig_h"), F.col("_e.`id.orig_p`").alias("orig_p"),
         F.col("_e.`id.resp_h`").alias("resp_h"), F.col("_e.`id.resp_p`").alias("resp_p"),
         kind.alias("event_type"), F.lit(sensor_id).alias("sensor_id"),
