@@ -420,13 +420,13 @@ def _bodies() -> dict[str, str]:
               AND (g.t_us < f.t_us OR (g.t_us = f.t_us AND g.seq <= f.seq))
             GROUP BY ALL HAVING sum(g.orig_bytes) >= 300000""",
         "dns_burst_distinct": f"SELECT seq, source_ip, distinct_domains FROM dns_state WHERE {reason_d}",
-        "dns_burst_large": """WITH q AS (
+        "dns_burst_large": """SELECT * FROM (WITH q AS (
               SELECT orig_h AS source_ip, t_us, seq, query, CASE WHEN t_us - lag(t_us) OVER w <= 3600000000 THEN 0 ELSE 1 END AS opens
               FROM dns_600 WINDOW w AS (PARTITION BY orig_h ORDER BY t_us, seq)),
             s AS (SELECT *, sum(opens) OVER (PARTITION BY source_ip ORDER BY t_us, seq) AS session FROM q),
             f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_ip, session, query ORDER BY t_us, seq) = 1 THEN 1 ELSE 0 END AS one FROM s),
             d AS (SELECT seq, source_ip, sum(one) OVER (PARTITION BY source_ip, session ORDER BY t_us, seq)::BIGINT AS distinct_domains FROM f)
-            SELECT * FROM d WHERE distinct_domains >= 300""",
+            SELECT * FROM d WHERE distinct_domains >= 300)""",
         "dns_burst_nxdomain": f"""SELECT seq, source_ip, distinct_domains, total_responses,
             round(nx::DOUBLE / total_responses, 6) AS nxdomain_rate FROM dns_state WHERE {reason_x}""",
         "dns_window_alerts": f"""SELECT seq, 'RULE_DNS_QUERY_BURST' AS rule_id, CASE WHEN {reason_d} THEN 'high' ELSE 'medium' END
