@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hawkgrid.llm.common import batches, utf8
 
@@ -186,7 +187,7 @@ def encode_pieces(docs: DataFrame, model: str, ids: str = "ids", n_ids: str = "n
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["_all", "_ids"])
 
-    schema = held.select("_all").schema.add("_ids", "array<int>")
+    schema = held.select("_all").schema.add("_ids", T.ArrayType(T.IntegerType()))
     out = held.mapInArrow(run, schema)
     return out.select(*[F.col("_all")[c].alias(c) for c in rest], F.size("_ids").cast("long").alias(n_ids), F.col("_ids").alias(ids))
 
