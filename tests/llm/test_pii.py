@@ -45,7 +45,7 @@ def test_base_spans_match_brute_force(spark, sf):
 
 def test_very_long_runs(spark):
     texts = ["9" * 100_000, "a" * 200_000, "a." * 20_000 + "@b.c", "x@" + "y." * 30_000 + "z", "+1" + " " * 40_000, "1." * 4_000, "!" * 40_000 + "7",
-             "1 " * 100_000]
+             "1 " * 10_000]
     rows = {r.doc_id: r for r in pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [rows[k].n_email for k in range(4)] == [0, 0, 1, 1] and rows[5].n_ip == 1000 and rows[0].n_card == 0
 
