@@ -29,7 +29,7 @@ KNOWN_INFRA_SUFFIXES = [
 # Fixed values of the lexical vector and the character windows.
 LEXICAL_NAMES = ["length", "entropy", "digits", "vowels", "distinct", "consonant_run", "hyphens"]
 MAX_LABEL, MAX_ENTROPY, MAX_RUN = 63.0, 5.25, 10.0
-WINDOW, STEP, SLICE_BUDGET, MAX_VARIANTS, MIN_LABEL = 35, 15, 32, 8, 4
+WINDOW, STEP, MIN_LABEL = 35, 15, 4
 _LABEL = "^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 
 
@@ -121,7 +121,7 @@ def sanitise_domain(text: Column) -> Column:
 def name_variants(ascii_name: Column, plain_name: Column) -> Column:
     """Forms of a name to score: whole, mapped plain form, last two labels, long labels.
 
-    At most eight, in this order, without repeats. ``ascii_name`` and ``plain_name``
+    In this order, without repeats; the length of a name bounds them. ``ascii_name`` and ``plain_name``
     differ only for internationalised names.
     """
     none = F.array().cast("array<string>")
@@ -134,7 +134,7 @@ def name_variants(ascii_name: Column, plain_name: Column) -> Column:
             long_labels = F.filter(labels, lambda p: F.length(p) >= MIN_LABEL)
             extra = F.when(F.size(labels) >= 2, F.concat(pair, long_labels)).otherwise(none)
             every = F.array_distinct(F.concat(F.array(whole), mapped, extra))
-            return F.when(whole != "", F.slice(every, 1, MAX_VARIANTS)).otherwise(none)
+            return F.when(whole != "", every).otherwise(none)
 
         return let(F.filter(F.split(whole, r"\."), lambda p: p != ""), from_labels)
 
@@ -144,20 +144,18 @@ def name_variants(ascii_name: Column, plain_name: Column) -> Column:
 def character_windows(variants: Column) -> Column:
     """Overlapping 35-character windows over each variant, plus the last 35 characters.
 
-    Every variant has an equal share of 32 windows, so a long one cannot crowd out others.
+    All of them: a long name has many windows, and any may be the one that tells.
     """
     def cut(names: Column) -> Column:
-        budget = F.greatest(F.lit(1), F.floor(F.lit(SLICE_BUDGET) / F.size(names))).cast("int")
-
         def windows(name: Column) -> Column:
             n = F.length(name)
             starts = F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)), F.lit(STEP))
             steps = F.transform(starts, lambda i: F.substring(name, i, WINDOW))
             tail = F.when((n - WINDOW) % STEP != 0, F.array(F.substring(name, -WINDOW, WINDOW))).otherwise(
                 F.array().cast("array<string>"))
-            return F.when(n > WINDOW, F.slice(F.concat(steps, tail), 1, budget)).otherwise(F.array(name))
+            return F.when(n > WINDOW, F.concat(steps, tail)).otherwise(F.array(name))
 
-        return F.slice(F.flatten(F.transform(names, windows)), 1, SLICE_BUDGET)
+        return F.flatten(F.transform(names, windows))
 
     return let(variants, cut)
 

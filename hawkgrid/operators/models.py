@@ -245,12 +245,3 @@ def training_domains(benign: DataFrame, generated: DataFrame, words: DataFrame,
     bare = every.where(_share("domain", "bare", BARE_SHARE) & (F.size(long_labels) > 0)).select(
         F.element_at(long_labels, spot.cast("int")).alias("domain"), "label")
     return every.unionByName(bare)
-
-
-def benign_flow_mix(real: DataFrame, synthetic_rows: int, seed: int = 7) -> DataFrame:
-    """Real benign flows plus as many evenly spread ones as asked for."""
-    columns = ["orig_bytes", "resp_bytes", "duration", "orig_pkts"]
-    ranges = {"orig_bytes": (500, 2000), "resp_bytes": (5000, 500000), "duration": (0.1, 10.0), "orig_pkts": (10, 500)}
-    spread = real.sparkSession.range(synthetic_rows).select(*[
-        (F.rand(seed + i) * (hi - lo) + lo).alias(c) for i, (c, (lo, hi)) in enumerate(ranges.items())])
-    return real.select(*[F.col(c).cast("double").alias(c) for c in columns]).unionByName(spread)

@@ -595,7 +595,7 @@ def dga_detections(spark, sf):
 def flow_anomaly(spark, sf):
     conn = _conn(spark, sf)
     benign = conn.where("user_id % 4 <> 0 and kind <> 'purchase'")
-    model = models.fit_flow_model(models.benign_flow_mix(benign, benign.count()))
+    model = models.fit_flow_model(benign)
     return models.flow_detections(conn, model).select("seq", "rule_id", "reconstruction_mse", "confidence")
 
 
@@ -639,8 +639,8 @@ def queries() -> dict[str, Query]:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Events to incidents: stateless and windowed detections, alerts, risk, riskiest first."""
     conn = _conn(spark, sf)
-    columns = ["seq", "t_us", "source_ip", "destination_ip", *rules.DETECTION_FIELDS]
-    windows = conn_window_detections(conn_windows(conn, rate_min_count=RATE_MIN)).select(*columns)
-    parts = [_detections(spark, sf).select(*columns), windows]
-    found = reduce(DataFrame.unionByName, parts).withColumn("event_type", F.lit("conn"))
+    columns = ["seq", "t_us", "source_ip", "destination_ip", "event_type", *rules.DETECTION_FIELDS]
+    windows = conn_window_detections(conn_windows(conn, rate_min_count=RATE_MIN)).withColumn("event_type", F.lit("conn"))
+    parts = [_detections(spark, sf).select(*columns), windows.select(*columns)]
+    found = reduce(DataFrame.unionByName, parts)
     return incidents.incidents_by_source(al.to_alerts(found)).orderBy(F.col("risk_score").desc(), "source_ip")

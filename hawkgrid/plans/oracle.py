@@ -343,7 +343,7 @@ def _cells(hit: str, label: str) -> str:
 _V = "lower(rtrim(query, '.'))"
 _PARTS = f"list_filter(string_split(regexp_replace({_V}, '[^a-z0-9.-]', '-', 'g'), '.'), lambda p: p <> '')"
 _VARIANTS = f"""
-    SELECT seq, list_slice(list_distinct_ordered, 1, 8) AS v FROM (
+    SELECT seq, list_distinct_ordered AS v FROM (
       SELECT seq, list_transform(list_filter(list_zip(xs, range(1, len(xs) + 1)),
         lambda z: list_position(xs, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_ordered FROM (
         SELECT seq, list_concat([regexp_replace({_V}, '[^a-z0-9.-]', '-', 'g')],
@@ -388,10 +388,10 @@ def _bodies() -> dict[str, str]:
             round((length(label) - length(replace(label, '-', ''))) / length(label)::DOUBLE, 6) AS hyphens FROM dns_feat""",
         "name_variants": f"SELECT seq, array_to_string(v, '|') AS variants FROM ({_VARIANTS})",
         "character_windows": f"""SELECT seq, len(w)::BIGINT AS window_count, md5(array_to_string(w, '|')) AS windows_md5 FROM (
-            SELECT seq, list_slice(flatten(list_transform(v, lambda n: CASE WHEN length(n) > 35 THEN list_slice(list_concat(
+            SELECT seq, flatten(list_transform(v, lambda n: CASE WHEN length(n) > 35 THEN list_concat(
               list_transform(range(1, length(n) - 33, 15), lambda i: substr(n, i, 35)),
-              CASE WHEN (length(n) - 35) % 15 <> 0 THEN [right(n, 35)] ELSE [] END), 1, greatest(1, 32 // len(v)))
-              ELSE [n] END)), 1, 32) AS w FROM ({_VARIANTS}))""",
+              CASE WHEN (length(n) - 35) % 15 <> 0 THEN [right(n, 35)] ELSE [] END)
+              ELSE [n] END)) AS w FROM ({_VARIANTS}))""",
         "flow_vectors": "SELECT seq, " + ", ".join(
             f"round(ln(1 + greatest(0, {e})::DOUBLE) / {s}, 6) AS v{i}" for i, (e, s) in enumerate([
                 ("orig_bytes", 15), ("resp_bytes", 15), ("duration", 10), ("orig_pkts", 10),
