@@ -11,6 +11,9 @@ its distinct keys. Everything else is a join of small tables:
 * scores: each distinct key of the corpus is joined with its count, its context, its shorter key and so on,
   then with the blocks that hold it, and the block's own scores come back to it.
 
+Thresholds are quantiles of held-out scores: trusted texts fall into halves by their hash, so that copies stay together, and
+each half is scored by a model of the other one.
+
 Texts are never shuffled: buckets are read where they lie, and only keys and scores move to them. A key found in every
 block has one row per block, and the joins can be split.
 """
@@ -33,7 +36,9 @@ BLOCK_BYTES = 8 << 20
 BEGIN, END = 0x110000, 0x110001
 _BITS = 21
 _DENSE = 1 << 24
-QUANTILE, MARGIN, MIN_TRUSTED, PRIOR_CHARS = 0.99, 1.0, 50, 100
+QUANTILE, MARGIN, MIN_TRUSTED, PRIOR_CHARS = 0.99, 0.0, 50, 100
+_USUAL = 0.5, 0.75, 0.9
+_MODELS = ["logp", "held_0", "held_1"]
 
 
 # Blocks ------------------------------------------------------------------------------------------------------------
@@ -138,21 +143,29 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 # Model -------------------------------------------------------------------------------------------------------------
 
+def half(text_hash: str = "text_hash") -> Column:
+    """0 or 1; texts that are equal share it."""
+    return F.pmod(F.col(text_hash), F.lit(2)).cast("int")
+
+
 def trusted_counts(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(k, n): how often each key occurs in the documents whose ``doc_id`` is in ``trusted``."""
-    held = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.doc_id", "d.row")
-    rows = held.join(trusted.select("doc_id").distinct(), "doc_id").groupBy("block").agg(F.collect_list("row").alias("rows"))
+    """(half, k, n): how often each key occurs in the documents of a half whose ``doc_id`` is in ``trusted``."""
+    held = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.doc_id", "d.row", half("d.text_hash").alias("half"))
+    rows = held.join(trusted.select("doc_id").distinct(), "doc_id").groupBy("block", "half").agg(F.collect_list("row").alias("rows"))
+    rows = rows.groupBy("block").agg(F.collect_list(F.struct("half", "rows")).alias("halves"))
 
     def count(parts):
         for part in parts:
-            for sizes, payload, rows in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+            for sizes, payload, halves in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 texts = _unpack(payload, sizes)
-                keys, n = _counts(_symbols([texts[r] for r in rows])[0])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
-
-    found = blocks.select("block", "sizes", "payload").join(rows.hint("shuffle_hash"), "block").select("sizes", "payload", "rows")
-    return found.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+                for h in halves:
+                    keys, n = _counts(_symbols([texts[r] for r in h["rows"]])[0])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), h["half"]), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())],
+                        names=["half", "k", "n"])
 
+    found = blocks.select("block", "sizes", "payload").join(rows.hint("shuffle_hash"), "block").select("sizes", "payload", "halves")
+    return found.mapInArrow(count, "half int, k long, n long").groupBy("half", "k").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame, n: str = "n") -> tuple[float, float, float]:
@@ -160,9 +173,11 @@ def discounts(counts: DataFrame, n: str = "n") -> tuple[float, float, float]:
     row = counts.agg(*[F.sum((F.col(n) == k).cast("long")).alias(f"n{k}") for k in range(1, 5)]).first()
     n1, n2, n3, n4 = (row[f"n{k}"] or 0 for k in range(1, 5))
     if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9  # too little text for an estimate
+        return _USUAL  # too little text for an estimate
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1))
+    found = [min(k - (k + 1) * y * b / a, float(k)) for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+    # Few symbols can give a discount of nothing, which would leave no probability for what a context has not seen.
+    return tuple(d if d > 0 else usual for d, usual in zip(found, _USUAL, strict=True))
 
 
 def _discount(n: str, d: tuple[float, float, float]) -> Column:
@@ -216,34 +231,41 @@ class Model:
 
 # Scores ------------------------------------------------------------------------------------------------------------
 
-def _score_block(texts: list[str], keys: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """Mean log probability of each text's characters and its end."""
+def _score_block(texts: list[str], keys: np.ndarray, logps: list[np.ndarray]) -> list[np.ndarray]:
+    """Mean log probability of each text's characters and its end, under each model."""
     codes, starts = _symbols(texts)
     alphabet = _Alphabet(codes)
     if alphabet.dense:
         small = alphabet.number
         mask = (1 << _BITS) - 1
         at = (small[keys >> 2 * _BITS] * alphabet.size + small[keys >> _BITS & mask]) * alphabet.size + small[keys & mask]
-        table = np.zeros(alphabet.size ** 3)
-        table[at] = logp
-        scores = table[alphabet.keys(codes)]
+        found, table = alphabet.keys(codes), np.zeros(alphabet.size ** 3)
     else:
         order = np.argsort(keys)
-        found = np.minimum(np.searchsorted(keys[order], alphabet.keys(codes)), len(keys) - 1)
-        scores = logp[order][found]
-    scores = np.where(codes[2:] == BEGIN, 0.0, scores)
-    sums = np.add.reduceat(scores, starts)
-    return sums / np.array([len(t) + 1 for t in texts])
+        found = order[np.minimum(np.searchsorted(keys[order], alphabet.keys(codes)), len(keys) - 1)]
+    size, means = np.array([len(t) + 1 for t in texts]), []
+    for logp in logps:
+        if alphabet.dense:
+            table[at] = logp
+        scores = np.where(codes[2:] == BEGIN, 0.0, (table if alphabet.dense else logp)[found])
+        means.append(np.add.reduceat(scores, starts) / size)
+    return means
+
 
+_SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double, held_0 double, held_1 double"
 
-_SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double"
 
+def perplexities(blocks: DataFrame, models: list[Model]) -> DataFrame:
+    """doc_id, lang, text_hash, n_chars, perplexity of every document (null for an empty text).
 
-def perplexities(blocks: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, text_hash, n_chars, perplexity of every document (null for an empty text)."""
+    ``models`` are of all trusted texts, of those outside half 0, and of those outside half 1; the last two give held_0 and held_1.
+    """
     held = blocks.select("block", F.explode("keys").alias("k"))
-    scored = model.log_probabilities(blocks.select(F.explode("keys").alias("k")).distinct())
-    own = held.join(scored, "k").groupBy("block").agg(F.collect_list(F.struct("k", "logp")).alias("scores"))
+    keys = durable(blocks.select(F.explode("keys").alias("k")).distinct())
+    scored = keys
+    for name, model in zip(_MODELS, models, strict=True):
+        scored = scored.join(model.log_probabilities(keys).withColumnRenamed("logp", name), "k")
+    own = held.join(durable(scored), "k").groupBy("block").agg(F.collect_list(F.struct("k", *_MODELS)).alias("scores"))
 
     def score(parts):
         for part in parts:
@@ -251,28 +273,35 @@ def perplexities(blocks: DataFrame, model: Model) -> DataFrame:
                 docs, sizes, payload = (part.column(k)[row].as_py() for k in range(3))
                 scores = part.column(3)[row].values
                 texts = _unpack(payload, sizes)
-                mean = _score_block(texts, scores.field(0).to_numpy(), scores.field(1).to_numpy())
-                values = [None if d["empty"] else float(np.exp(-m)) for d, m in zip(docs, mean, strict=True)]
+                means = _score_block(texts, scores.field(0).to_numpy(), [scores.field(k + 1).to_numpy() for k in range(len(_MODELS))])
+                values = [[None if d["empty"] else float(np.exp(-m)) for d, m in zip(docs, mean, strict=True)] for mean in means]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([d["lang"] for d in docs], pa.string()),
                      pa.array([d["text_hash"] for d in docs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                     pa.array(values, pa.float64())], names=["doc_id", "lang", "text_hash", "n_chars", "perplexity"])
+                     *(pa.array(v, pa.float64()) for v in values)], names=["doc_id", "lang", "text_hash", "n_chars", "perplexity", *_MODELS[1:]])
 
     both = blocks.select("block", "docs", "sizes", "payload").join(own.hint("shuffle_hash"), "block")
     return both.select("docs", "sizes", "payload", "scores").mapInArrow(score, _SCORED)
 
 
+def _judged(perplexity: str, middle: str, prior_chars: int) -> Column:
+    """The perplexity as if ``prior_chars`` characters of perplexity ``middle`` came before the text."""
+    size = F.col("n_chars") + 1
+    return F.exp((size * F.log(perplexity) + prior_chars * F.log(middle)) / (size + prior_chars))
+
+
 def classify(
     docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_trusted: int = MIN_TRUSTED,
     prior_chars: int = PRIOR_CHARS,
 ) -> DataFrame:
     """doc_id, lang, text_hash, n_chars, perplexity, judged, threshold, kept of each row of ``docs`` (doc_id, lang, text).
 
-    The model learns from all documents whose doc_id is in ``trusted`` (doc_id). The threshold of a language is its trusted
-    documents' perplexity at ``quantile``, plus ``margin`` times its distance from their median; languages with fewer than
-    ``min_trusted`` of them, unknown ones and null share the threshold of all trusted documents. ``judged`` is the perplexity as if
+    The model learns from all documents whose doc_id is in ``trusted`` (doc_id). ``judged`` is the perplexity as if
     ``prior_chars`` characters of the language's median came before the text, so that a short text is not rejected
-    for a single odd word; a document is kept if it is not above the threshold.
+    for a single odd word; a document is kept if it is not above the threshold. The threshold of a language is the ``quantile`` of
+    its trusted documents' ``judged``, each under a model of the other half of them (under the whole model while one half is empty),
+    plus ``margin`` times its distance from their median; languages with fewer than ``min_trusted`` of them, unknown ones and null
+    share median and threshold of all trusted documents.
 
     A null or empty text has no perplexity and is not kept. Without trusted documents nothing can be judged: the threshold is
     null and every text is kept. Null ids are never trusted; repeated rows are scored each (``text_hash`` tells texts
@@ -280,20 +309,28 @@ def classify(
     """
     blocks = text_blocks(docs)
     trusted = durable(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
-    model = Model(trusted_counts(blocks, trusted))
-    scored = durable(perplexities(blocks, model))
-    sure = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
-    at = F.percentile_approx("perplexity", [0.5, quantile], 10_000)
-    middle, limit = at[0].alias("_middle"), (at[1] + margin * (at[1] - at[0])).alias("_limit")
+    counts = durable(trusted_counts(blocks, trusted))
+    whole = counts.groupBy("k").agg(F.sum("n").alias("n"))
+    halves = [counts.where(F.col("half") != h).select("k", "n") for h in (0, 1)]
+    scored = durable(perplexities(blocks, [Model(c) for c in (whole, *halves)]))
+    held = F.when(half() == 0, F.col("held_0")).otherwise(F.col("held_1"))
+    both_halves = counts.select("half").distinct().count() == 2
+    sure = durable(scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi").select(
+        "lang", "n_chars", (held if both_halves else F.col("perplexity")).alias("_held")))
+    median = F.percentile_approx("_held", 0.5, 10_000).alias("_middle")
+    at = F.percentile_approx(_judged("_held", "_middle", prior_chars), quantile, 10_000)
+    limit = (at + margin * (at - F.max("_middle"))).alias("_limit")
     # One row per language with enough trusted documents.
-    by_lang = durable(sure.where("lang is not null").groupBy("lang").agg(middle, limit, F.count("*").alias("_n")).where(F.col("_n") >= min_trusted).drop("_n"))
-    by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
-    overall = sure.agg(middle, limit).first()
-    out = scored.join(by_lang, "lang", "left").withColumns({
-        "threshold": F.coalesce("_limit", F.lit(overall["_limit"]).cast("double")),
-        "_middle": F.coalesce("_middle", F.lit(overall["_middle"]).cast("double"))})
-    size = F.col("n_chars") + 1
-    judged = F.exp((size * F.log("perplexity") + prior_chars * F.log("_middle")) / (size + prior_chars))
+    middles = sure.where("lang is not null").groupBy("lang").agg(median, F.count("*").alias("_n")).where(F.col("_n") >= min_trusted).drop("_n")
+    middles = durable(middles)
+    small = lambda t: F.broadcast(t) if t.count() <= 10_000 else t
+    by_lang = durable(sure.join(small(middles), "lang").groupBy("lang").agg(F.max("_middle").alias("_middle"), limit))
+    overall = sure.agg(median).first()["_middle"]
+    overall_limit = sure.withColumn("_middle", F.lit(overall).cast("double")).agg(limit).first()["_limit"]
+    out = scored.join(small(by_lang), "lang", "left").withColumns({
+        "threshold": F.coalesce("_limit", F.lit(overall_limit).cast("double")),
+        "_middle": F.coalesce("_middle", F.lit(overall).cast("double"))})
+    judged = _judged("perplexity", "_middle", prior_chars)
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("judged") <= F.col("threshold")))
     return out.withColumn("judged", judged).select(
         "doc_id", "lang", "text_hash", "n_chars", "perplexity", "judged", "threshold", kept.alias("kept"))

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from hawkgrid.llm import kneser_ney, queries
 
@@ -80,6 +81,46 @@ def test_labels_are_told_apart(spark):
     assert rate[1] >= 0.99 and rate[0] < 0.4
 
 
+def test_discounts_leave_something_for_the_unseen(spark):
+    # One count of three and four of four: the third discount comes out below zero.
+    counts = [1, 1, 1, 2, 3, 4, 4, 4, 4, 9]
+    assert min(kneser_ney.discounts(spark.createDataFrame([(n,) for n in counts], "n long"))) > 0
+
+
+def junk_kind(text):
+    words = text.split()
+    if sum(w.endswith("!!") for w in words) > 0.3 * len(words):
+        return "shouting"
+    if sum(any(c * 3 in w for c in "#$%&*") for w in words) > 0.2 * len(words):
+        return "symbols"
+    if " | " in text:
+        return "table"
+    return "repeats" if sum(a == b for a, b in zip(words, words[1:])) > 0.2 * len(words) else "other"
+
+
+def test_every_kind_of_junk_goes(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    rows = queries.op3_quality(spark, sf).join(labels.where("quality = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    kinds = defaultdict(list)
+    for r in rows:
+        kinds[junk_kind(r.text)].append(r.kept)
+    rate = {k: sum(v) / len(v) for k, v in kinds.items()}
+    assert rate["repeats"] < 0.3 and max(rate[k] for k in ("shouting", "symbols", "table")) < 0.02, rate
+
+
+def test_threshold_is_the_held_out_quantile(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 1 and 2000")
+    trusted = queries.trusted(spark, sf)
+    halves = docs.join(trusted, "doc_id", "left_semi").select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()
+    models = [Brute([r.text for r in halves if r.h != h]) for h in (0, 1)]
+    held = sorted((models[r.h].perplexity(r.text), len(r.text) + 1) for r in halves)
+    middle = held[math.ceil(0.5 * len(held)) - 1][0]
+    judged = sorted(math.exp((n * math.log(p) + 100 * math.log(middle)) / (n + 100)) for p, n in held)
+    got = {r.threshold for r in kneser_ney.classify(docs, trusted, min_trusted=10**9).select("threshold").collect()}
+    assert len(got) == 1 and got.pop() == pytest.approx(judged[math.ceil(0.99 * len(judged)) - 1], rel=1e-9)
+
+
 ROWS = [(1, "plain text of some words", "en", 1), (2, None, "en", 2), (3, "", None, 3), (None, "plain words", None, 4),
         (4, "plain text of some words", "xx", 5), (4, "###$$$%%%&&&" * 40, "xx", 6), (4, "###$$$%%%&&&" * 40, "xx", 6),
         (5, "word " * 50_000, "en", 7), (6, "\U0001f600 日本", "en", 8)]
