@@ -28,7 +28,7 @@ try:
 except ImportError:  # names are then scored in their normalised form
     idna = None
 
-# Decision thresholds and the longest query that is scored.
+# Decision thresholds. Queries longer than MAX_QUERY are not scored unless asked for.
 DGA_THRESHOLD = 0.97
 FLOW_THRESHOLD = 0.0008
 MAX_QUERY = 253
@@ -102,14 +102,16 @@ def fit_domain_model(labelled: DataFrame, hash_features: int = 4096, seed: int =
     return model, float(accuracy or 0.0)
 
 
-def score_domains(queries: DataFrame, model: PipelineModel) -> DataFrame:
+def score_domains(queries: DataFrame, model: PipelineModel, max_length: int | None = MAX_QUERY) -> DataFrame:
     """``query, score`` for each distinct query: the highest score over all its windows.
 
+    Queries longer than ``max_length`` are not scored; with None, all are.
+
     Repeated queries are folded before scoring, with map-side combine. Windows of a query
     stay in its partition, so taking their maximum needs no further shuffle.
     """
-    unique = queries.select(F.trim("query").alias("query")).where(
-        F.length("query").between(1, MAX_QUERY)).distinct()
+    fits = F.length("query") >= 1 if max_length is None else F.length("query").between(1, max_length)
+    unique = queries.select(F.trim("query").alias("query")).where(fits).distinct()
     windows = normal_names(unique).withColumn(
         "text", F.explode(character_windows(name_variants(F.col("ascii"), F.col("plain")))))
     scored = model.transform(_features(windows.select("query", "text"), "text"))
@@ -117,13 +119,15 @@ def score_domains(queries: DataFrame, model: PipelineModel) -> DataFrame:
         F.max("p").alias("score"))
 
 
-def domain_detections(dns: DataFrame, model: PipelineModel, threshold: float = DGA_THRESHOLD) -> DataFrame:
+def domain_detections(
+    dns: DataFrame, model: PipelineModel, threshold: float = DGA_THRESHOLD, max_length: int | None = MAX_QUERY,
+) -> DataFrame:
     """Detections for queries scored strictly above the threshold.
 
     Scores are filtered before they meet the events, so the join carries flagged names only.
     """
     rows = dns.where(F.col("event_type") == "dns").withColumn("query", F.trim("query"))
-    flagged = score_domains(rows, model).where(F.col("score") > threshold)
+    flagged = score_domains(rows, model, max_length).where(F.col("score") > threshold)
     hits = rows.join(flagged, "query")
     evidence = F.to_json(F.struct(F.col("query").alias("domain")))
     return fire(hits, [(F.col("score") > threshold, detection(DGA_MODEL, evidence, F.col("score")))])

@@ -415,6 +415,10 @@ def packet_dns(spark, sf):
         "seq", "orig_h", "resp_h", "query", "qtype_name", "rcode_name", "event_type")
 
 
+def packet_dead_letters(spark, sf):
+    return packets.dead_letters(adapters.packets_view(spark, sf)).select("seq", "src_ip", "dst_ip", "proto", "length", "error")
+
+
 def flow_windows(spark, sf):
     """Byte windows over the assembled flows: the larger input of the trailing windows."""
     flows = packets.flows(adapters.packets_view(spark, sf))
@@ -627,7 +631,7 @@ def queries() -> dict[str, Query]:
         related_incidents, timeline, talkers, threat_distribution, kill_chain, health,
         correlation_triggers, correlated_incidents, correlation_rollback,
         ip_intel_fallback, enriched_alerts, domain_age_alerts, playbook_render,
-        flow_assembly, packet_dns, log_parsing, log_rejects, alert_validation, alert_dead_letters,
+        flow_assembly, packet_dns, packet_dead_letters, log_parsing, log_rejects, alert_validation, alert_dead_letters,
         dead_letter_replay, alert_upsert, tenant_backfill, triage_current, audit_page,
         confusion_by_detector, composite_evaluation, threshold_sweep, family_recall, scenario_pivot,
         regression_gate, domain_overlap, leakage_free,

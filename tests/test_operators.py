@@ -144,6 +144,14 @@ def test_flows(spark):
     assert (c.orig_pkts, c.resp_pkts, c.orig_bytes, c.resp_bytes) == (1, 1, 7, 8)
 
 
+def test_packet_dead_letters(spark):
+    rows = [(1, "a", 53, "b", 53, "udp", 100), (2, "a", 53, "b", 53, "udp", 65535), (3, "a", 53, "b", 53, "udp", 65536), (4, "a", 53, "b", 53, "tcp", None)]
+    frame = spark.createDataFrame(rows, "seq long, src_ip string, src_port int, dst_ip string, dst_port int, proto string, length int")
+    fits, rejected = packets.split_oversized(frame)
+    assert sorted(r.seq for r in fits.collect()) == [1, 2] and sorted(r.seq for r in rejected.collect()) == [3, 4]
+    assert {r.seq: r.error for r in packets.dead_letters(frame).collect()} == {3: "Length above 65535", 4: "Missing length"}
+
+
 def test_labelled_sets_and_gate(spark, tmp_path):
     path = tmp_path / "rules.csv"
     path.write_text("scenario,label,dport,state,orig_bytes,resp_bytes,tot_pkts\n1,botnet,22,S_,0,0,2.0\n1,normal,22,SF_SF,0,0,2.0\n")
@@ -187,3 +195,4 @@ def test_flow_model_roundtrip_and_domain_model(spark, tmp_path):
     assert scores["0cc175b9c0f1b6a831c3.com"] > 0.5 and all(0 <= s <= 1 for s in scores.values())
     forms = models.normal_names(spark.createDataFrame([("Bücher.example.",), ("Plain.COM.",)], "query string")).collect()
     assert {(r.plain, r.ascii) for r in forms} == {("bücher.example", "xn--bcher-kva.example"), ("plain.com", "plain.com")}
+    assert models.score_domains(asked, model, max_length=None).where(F.length("query") == 300).count() == 1
