@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm import cover_tree, kneser_ney, line_dedup, mixing, ngram_join, pii, piece_codec, token_file, toxicity, weak_rules
+from hawkgrid.llm import (
+    alignment, cover_tree, kneser_ney, line_dedup, merkle, mixing, ngram_join, pii, piece_codec, token_counts, token_file, toxicity,
+    weak_rules)
 from hawkgrid.llm.common import table
 
 
@@ -85,6 +87,20 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(manifest, ids=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own: every call does the whole work.
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -97,8 +113,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_pieces": op9_pieces,
         "op10_token_file": op10_token_file,
+        "op11_token_counts": op11_token_counts,
+        "op12_alignment": op12_alignment,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_mixing": mixing.SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_mixing": mixing.SQL, "op13_merkle": merkle.SQL}

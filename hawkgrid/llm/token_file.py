@@ -16,6 +16,8 @@ and checks each content against its checksum. Any zstandard tool can decompress
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkgrid.llm.common import batches, shuffle_partitions, utf8
+from hawkgrid.llm.memo import Memo
 from hawkgrid.session import durable, shared_folder
 
 FRAME_IDS = 1 << 16
@@ -40,55 +43,117 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 CHECKED = 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _MAX_WORDS = 400_000
+# A capital before a character beyond the Latin letters, which may be a combining mark.
+_COMBINED = re.compile(rb"[A-Z][\xCC-\xF4]")
+_STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+
+
+#: The pre-tokenizer's pattern (fixed value) that never joins across white space and drops it.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer (its parsed file) gives a text's words the same ids alone as in the text.
+
+    True if its pattern drops white space, its normalisation works on single words, and its added tokens are matched as
+    they stand.
+    """
+    normalizer = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = normalizer.get("normalizers", [normalizer])
+    pre = spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    return (
+        all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " ")
+            for x in steps)
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_PATTERN}
+        and first.get("behavior") == "Removed" and first.get("invert") is True
+        and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ())))
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across white space.
+    """Ids of texts by a tokenizer of the tokenizers library, without added special tokens.
 
-    Texts are cut at ASCII white space; each distinct word is encoded once by the library and kept
-    (bounded; the store is emptied when full). ASCII capitals share a word's entry where the tokenizer
-    lower-cases. Texts that may hold special tokens go to the library whole.
+    Where ``cuts_at_white_space`` holds, texts are cut at ASCII white space and at special tokens; each distinct word is encoded once
+    by the library and kept (bounded; rare words go first). ASCII capitals share a word's entry where the tokenizer
+    lower-cases. Other tokenizers, and stretches in which lower-casing would make a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probe = ["Ab cD", "ab cd"]
-        upper, lower = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in probe)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_word = cuts_at_white_space(json.load(file))
+        self.memo = Memo(_MAX_WORDS)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = {t.content.encode(): i for i, t in added.items() if t.content}
+        self.at_mark = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + b")") if self.marks else None
+        upper, lower = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Ab cD", "ab cd"))
         self.fold = upper == lower
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        whole, words, found = {}, [], []
+        texts = [t or b"" for t in texts]
+        if not self.by_word:
+            return self._whole(texts)
+        odd, words = {}, []
         for at, text in enumerate(texts):
-            text = text or b""
-            folded = text.lower() if self.fold else text
+            folded = self._folded(text)
             if any(mark in folded for mark in self.marks):
-                ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-                whole[at] = np.array(ids, "<u4").tobytes()
+                odd[at] = text
                 folded = b""
-            words.append(folded.split())
-        if len(self.known) > _MAX_WORDS:
-            self.known.clear()
-        self._learn(list({w for ws in words for w in ws if w not in self.known}))
-        known = self.known
-        for at, ws in enumerate(words):
-            found.append(whole[at] if at in whole else b"".join([known[w] for w in ws]))
+            words.append(self._words(folded))
+        found = [b"".join(ids) for ids in self.memo.lookup(words, self._learn)]
+        for at, text in odd.items():
+            found[at] = self._with_marks(text)
         return found
 
-    def _learn(self, words: list[bytes], block: int = 20_000) -> None:
-        for low in range(0, len(words), block):
-            part = words[low:low + block]
+    def _with_marks(self, text: bytes) -> bytes:
+        out = []
+        for part in self.at_mark.split(text):
+            if part in self.marks:
+                out.append(struct.pack("<I", self.marks[part]))
+            elif any(mark in (folded := self._folded(part)) for mark in self.marks):
+                out += self._whole([part])
+            elif part:
+                out += self.memo.lookup([self._words(folded)], self._learn)[0]
+        return b"".join(out)
+
+    def _folded(self, text: bytes) -> bytes:
+        """A-Z lower-cased, unless a mark may combine with a capital: there are letters that only one case has composed."""
+        return text.lower() if self.fold and not _COMBINED.search(text) else text
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """Cut at white space and before a full stop or comma that ends a word: the pattern cuts there, too."""
+        return _STOP.sub(rb"\1 \2", text).split()
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _learn(self, words: list[bytes], block: int = 20_000) -> list[bytes]:
+        # A word of ASCII letters is one piece of the pattern and its own byte-level form: the model alone gives its ids.
+        known = {w: b"" for w in words}
+        model, others = self.tokenizer.model, []
+        for w in words:
+            if w.isalpha() and w.isascii() and w.islower():
+                ids = [t.id for t in model.tokenize(w.decode())]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(w)
+        for low in range(0, len(others), block):
+            part = others[low:low + block]
             texts = [w.decode() for w in part]
-            starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
             coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
             begins = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
             cuts = [*(4 * np.searchsorted(begins, starts)).tolist(), 4 * len(coded.ids)]
             raw = np.array(coded.ids, "<u4").tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+            known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        return [known[w] for w in words]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
