@@ -31,8 +31,6 @@ from hawkgrid.llm.token_file import cuts_at_white_space, word_encoder
 from hawkgrid.session import durable, shared_folder
 
 TOKEN_LIMIT = 2048
-#: Up to so many missing keys (about 50 bytes each) are sent to all tasks instead of shuffling texts.
-_BROADCAST_KEYS = 100_000
 _BLOCK_TEXTS = 256
 _SCHEMA = "digest binary, n_tokens long"
 _COUNTED = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
@@ -132,10 +130,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     keyed = durable(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     missing = durable(
         keyed.groupBy("digest").agg(F.min(key_of()).alias("_key")).join(store.read(), "digest", "left_anti"))
-    n = missing.count()
-    if n:
-        side = F.broadcast(missing) if n <= _BROADCAST_KEYS else missing
-        chosen = rows.withColumn("_key", key_of()).join(side, ["digest", "_key"], "left_semi")
+    if not missing.isEmpty():
+        # Few missing keys are a small table, which Spark sends to all tasks: then texts stay where they are.
+        chosen = rows.withColumn("_key", key_of()).join(missing, ["digest", "_key"], "left_semi")
         store.append(encode_missing(chosen, tokenizer))
     return keyed.join(store.read(), "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -88,11 +88,15 @@ def test_versions_do_not_mix(spark, tmp_path):
     assert counts[0] == 2 and counts[1] == len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("Some  TEXT").ids)
 
 
-def test_many_missing_keys_are_shuffled(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tc, "_BROADCAST_KEYS", 0)
+def test_many_missing_keys_are_shuffled(spark, tmp_path):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     texts = [f"text {i % 40}" for i in range(200)] + ["hot"] * 100
-    got = tc.token_counts(docs(spark, texts), WORDS, str(tmp_path))
-    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(library(t)) for i, t in enumerate(texts)}
+    try:
+        got = {r.doc_id: r.n_tokens for r in tc.token_counts(docs(spark, texts), WORDS, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: len(library(t)) for i, t in enumerate(texts)}
 
 
 def test_repeated_rows_nulls_clashing_columns_and_empty_table(spark, tmp_path):
