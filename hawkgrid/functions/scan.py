@@ -1,4 +1,4 @@
-"""Running sums and previous values per key, safe for keys of any size.
+"""Running sums, maxima and previous values per key, safe for keys of any size.
 
 A plain ``Window.partitionBy(key)`` puts each key into one task. Keys with more
 than ``hot_rows`` rows take another way: their rows are range-partitioned by
@@ -95,6 +95,28 @@ def running_sums(
     return cold.withColumns(plain).unionByName(scanned.select(*df.columns, *sums))
 
 
+def running_max(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], hot: HotKeys | None
+) -> DataFrame:
+    """Add the highest value before each row, per key in order; null at a key's first row."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    plain = {name: F.max(expr).over(w) for name, expr in values.items()}
+    if hot is None:
+        return df.withColumns(plain)
+    cold, heavy = _split(df, keys, hot)
+    ranged = _ranged(heavy, keys, order, hot.chunks)
+    inside = Window.partitionBy(_CHUNK, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy(_CHUNK, *keys).agg(*[F.max(e).alias(n) for n, e in values.items()])
+    carry = tops.select(_CHUNK, *keys, *[F.max(n).over(before).alias(f"_carry_{n}") for n in values])
+    scanned = (
+        ranged.withColumns({n: F.max(e).over(inside) for n, e in values.items()})
+        .join(carry, [_CHUNK, *keys], "left")
+        # greatest() skips nulls.
+        .withColumns({n: F.greatest(n, f"_carry_{n}") for n in values}))
+    return cold.withColumns(plain).unionByName(scanned.select(*df.columns, *values))
+
+
 def previous_values(
     df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], hot: HotKeys | None
 ) -> DataFrame:

@@ -347,7 +347,7 @@ def correlation_triggers(spark, sf):
 def correlated_incidents(spark, sf):
     return correlate.correlated_incidents(_alert_feed(spark, sf)).select(
         "incident_id", "source_ip", "anchor", "trigger_n", "created_us", "severity",
-        F.round("risk_score", 1).alias("risk_score"),
+        F.round("risk_score", 1).alias("risk_score"), "alert_count", "entity_count",
         *[F.array_join(c, ",").alias(c) for c in (
             "threat_classes", "affected_entities", "tactics", "related_alert_ids")])
 

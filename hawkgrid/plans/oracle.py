@@ -595,15 +595,17 @@ def statements() -> dict[str, str]:
         "FROM corr_state GROUP BY ALL")
     out["correlated_incidents"] = _correlation("feed", f""",
   snap AS (SELECT t.source_ip, t.anchor, t.n AS trigger_n, t.t_us AS created_us, e.model_name, e.weight, e.threat_class,
-      e.destination_ip, e.mitre_tactic, e.alert_id, e.confidence_score FROM corr_state t JOIN corr_state e
-    ON t.source_ip = e.source_ip AND t.anchor = e.anchor AND e.n BETWEEN t.n - 99 AND t.n WHERE t.trig),
+      e.destination_ip, e.mitre_tactic, e.alert_id, e.confidence_score, e.n > t.n - 100 AS newest FROM corr_state t JOIN corr_state e
+    ON t.source_ip = e.source_ip AND t.anchor = e.anchor AND e.n <= t.n WHERE t.trig),
   snap_risk AS (SELECT source_ip, anchor, trigger_n, {_POOL.replace('{d}', '2')} AS risk FROM (
     SELECT source_ip, anchor, trigger_n, model_name, max({_CONF}) AS best FROM snap GROUP BY ALL) GROUP BY ALL)
 SELECT 'INC-' || upper(substr(md5(source_ip || '|' || anchor::VARCHAR || '|' || trigger_n::VARCHAR), 1, 8)) AS incident_id,
   source_ip, anchor, trigger_n, max(created_us) AS created_us, {_NAME.replace('{w}', 'max(weight)')} AS severity,
-  round(any_value(risk), 1) AS risk_score, string_agg(DISTINCT threat_class, ',' ORDER BY threat_class) AS threat_classes,
-  array_to_string(list_sort(list_distinct(list_append(list(destination_ip), source_ip))), ',') AS affected_entities,
+  round(any_value(risk), 1) AS risk_score, count(*) AS alert_count,
+  len(list_distinct(list_append(list(destination_ip), source_ip)))::BIGINT AS entity_count,
+  string_agg(DISTINCT threat_class, ',' ORDER BY threat_class) AS threat_classes,
+  array_to_string(list_sort(list_distinct(list_append(list(destination_ip) FILTER (newest), source_ip))), ',') AS affected_entities,
   string_agg(DISTINCT mitre_tactic, ',' ORDER BY mitre_tactic) AS tactics,
-  string_agg(DISTINCT alert_id, ',' ORDER BY alert_id) AS related_alert_ids
+  string_agg(DISTINCT alert_id, ',' ORDER BY alert_id) FILTER (newest) AS related_alert_ids
 FROM snap JOIN snap_risk USING (source_ip, anchor, trigger_n) WHERE risk >= 50 GROUP BY source_ip, anchor, trigger_n""")
     return out

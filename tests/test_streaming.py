@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def _run(spark, tmp_path, rows, transform, parts=3):
     query = (
         transform(stream).writeStream.foreachBatch(lambda b, i: sinks.write_batch(b, out, i))
         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
-    query.awaitTermination(120)
+    query.awaitTermination(400)
     assert query.exception() is None
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
 
@@ -60,10 +61,88 @@ def test_incident_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame(random_alerts(150), SCHEMA)
     pick = lambda df: sorted(
         (r.incident_id, r.trigger_n, r.severity, r.risk_score, tuple(r.threat_classes), tuple(r.affected_entities),
-         tuple(r.tactics), tuple(r.related_alert_ids)) for r in df.collect())
+         tuple(r.tactics), tuple(r.related_alert_ids), r.alert_count, r.entity_count) for r in df.collect())
     assert pick(_run(spark, tmp_path, rows, stream_incidents)) == pick(correlated_incidents(rows))
 
 
+def test_a_flooding_pair_is_counted_whole(spark, tmp_path):
+    rng = random.Random(11)
+    times = sorted(rng.randrange(10 * S) for _ in range(20_000)) + [30 * S, 595 * S, 609 * S + 5, 900 * S, 21_605 * S]
+    rows = spark.createDataFrame(
+        [("10.0.0.1", "1.1.1.1", t, i, 1) for i, t in enumerate(times)], "orig_h string, resp_h string, t_us long, seq long, orig_bytes long")
+    pick = lambda df: sorted((
+        r.seq, r.connection_count, r.total_bytes, r.observations, r.is_flood, r.is_exfil, r.is_beacon,
+        None if r.coefficient_of_variation != r.coefficient_of_variation or r.coefficient_of_variation is None
+        else round(r.coefficient_of_variation, 4)) for r in df.collect())
+    streamed = pick(_run(spark, tmp_path, rows, lambda s: stream_conn_windows(s, slot_us=S), parts=5))
+    assert streamed == pick(conn_windows(rows)) and max(r[1] for r in streamed) == 20_000
+
+
+def test_many_names_of_a_source_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("10.0.0.1", S + i * S // 10, i, f"n{i % 400}.com", None, "dns") for i in range(600)]
+        + [("10.0.0.1", 200 * S + i, 600 + i, f"n{i}.com", None, "dns") for i in range(5)],
+        "orig_h string, t_us long, seq long, query string, rcode int, event_type string")
+    pick = lambda df: sorted((r.seq, r.distinct_domains, r.reason or "") for r in df.collect())
+    streamed = pick(_run(spark, tmp_path, rows, lambda s: stream_dns_windows(s, distinct_min=300)))
+    assert streamed == pick(dns_windows(rows, distinct_min=300))
+    assert max(r[1] for r in streamed) == 400 and streamed[-1][1] == 5 and sum(r[2] != "" for r in streamed) == 301
+
+
+def test_a_storm_of_alerts_keeps_its_first_one(spark, tmp_path):
+    rows = [("10.0.0.1", S + i * 50_000, i, f"a{i % 4000}", "C2" if i else "Worm", "low" if i else "critical", 0.55 if i else 0.95,
+             "m2" if i else "m1", f"1.1.{i % 7}.{i % 250}", None, i % 1000 == 999) for i in range(5000)]
+    rows = spark.createDataFrame(rows, SCHEMA)
+    pick = lambda df: sorted((
+        r.trigger_n, r.risk_score, r.severity, tuple(r.threat_classes), tuple(r.affected_entities), tuple(r.related_alert_ids),
+        r.alert_count, r.entity_count) for r in df.collect())
+    streamed = pick(_run(spark, tmp_path, rows, stream_incidents))
+    assert streamed == pick(correlated_incidents(rows))
+    assert {r[1] for r in streamed} == {95.87} and streamed[-1][0] == 4000
+
+
+def test_files_to_incidents_in_one_query(spark, tmp_path):
+    """Rules, windows of pairs and sources, and correlation as steps of one query; one late row is counted and repaired."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    conn = lambda i, t, **kw: {
+        "event_type": "conn", "ts": t, "seq": i, "uid": f"C{i}", "id.orig_h": "10.0.0.1", "id.resp_h": "8.8.8.8", "id.resp_p": 443,
+        "conn_state": "SF", "orig_pkts": 5, "orig_bytes": 10, "resp_bytes": 10, "duration": 1.0} | kw
+    dns = lambda i, t, q, **kw: {
+        "event_type": "dns", "ts": t, "seq": i, "uid": f"D{i}", "id.orig_h": "10.0.0.1", "id.resp_h": "8.8.8.8", "query": q} | kw
+    first = [conn(1, 1000.0, conn_state="REJ", orig_pkts=500), conn(2, 1001.0, orig_bytes=2_000_000)]
+    first += [conn(10 + i, 1002.0 + i / 10) for i in range(6)]
+    first += [dns(100 + i, 1003.0 + i / 10, f"n{i}.com") for i in range(6)]
+    second, between = [conn(200, 9000.0)], [conn(250, 9000.5)]
+    third = [conn(300, 1004.0), conn(301, 9001.0, conn_state="REJ", orig_pkts=500)]
+    for k, lines in enumerate((first, second, between, third)):
+        (source / f"{k}.json").write_text("\n".join(map(json.dumps, lines)))
+        os.utime(source / f"{k}.json", (k + 1, k + 1))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
+    events = logs.parse_events(lines.withColumn("file", F.lit(None).cast("string")), "s1")
+    alerts = jobs.all_alerts(events, delay="1 minute", conn_args={"rate_min_count": 5}, dns_args={"distinct_min": 5})
+    query = jobs.start_incidents(alerts, out, str(tmp_path / "ckpt"))
+    query.awaitTermination(300)
+    assert query.exception() is None and jobs.late_rows(query) == 1
+    found = spark.read.option("basePath", out).parquet(f"{out}/batch=*").collect()
+    classes = {c for r in found for c in r.threat_classes}
+    assert classes == {"DDoS", "Data Exfiltration", "DGA / DNS Tunnelling"}
+    assert all(r.trace_id and r.trace_id[0] in "CD" for r in found) and max(r.risk_score for r in found) > 99
+
+
+def test_late_events_are_repaired_in_batch(spark):
+    rows = spark.createDataFrame(
+        [("10.0.0.1", "1.1.1.1", i * S, i, 100) for i in range(40)] + [("10.0.0.2", "1.1.1.1", 5 * S, 90, 1)],
+        "orig_h string, resp_h string, t_us long, seq long, orig_bytes long")
+    whole = {r.seq: r.connection_count for r in conn_windows(rows).collect()}
+    keys = ["source_ip", "destination_ip"]
+    events = rows.withColumnsRenamed({"orig_h": "source_ip", "resp_h": "destination_ip"})
+    streamed = events.where("seq <> 20")
+    windows = lambda df: conn_windows(df.withColumnsRenamed({"source_ip": "orig_h", "destination_ip": "resp_h"}))
+    again = {r.seq: r.connection_count for r in jobs.repaired(events, streamed, windows, keys, 10 * S).collect()}
+    assert again == {k: v for k, v in whole.items() if 20 <= k <= 30}
+
+
 def _message(i, **changes):
     body = {"timestamp": "2024-01-01T00:00:00Z", "alert_id": f"a{i}", "event_type": "conn", "threat_class": "DDoS",
             "confidence_score": 0.9, "severity": "high", "source_ip": "10.0.0.1", "schema_version": "1.0",
