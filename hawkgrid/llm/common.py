@@ -57,10 +57,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     one place, and what is carried over is written to the shared folder. Self-links are allowed
     and give single nodes; null ends are ignored.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = durable(links.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # Links may be costly to find: written once, read for the nodes and for the steps.
+    stored = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
+    nodes = stored.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = stored.where("u <> v")
     before = None
     while True:
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
