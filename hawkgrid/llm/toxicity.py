@@ -3,13 +3,14 @@
 1. *Examples.* At most ``MAX_EXAMPLES`` labelled texts, half of each label, in the order of a hash; equal texts count once.
    This bound is a parameter of the classifier. Votes are weighted so that each label counts as in all labelled rows.
 2. *Terms.* Words and beginnings of words (insults also come as stems with changing ends) whose share of texts is clearly
-   higher among examples of label 1: by two-sample z score and at least ``MIN_LIFT`` times, at most ``MAX_TERMS``. Other terms say
-   nothing about the label and only add to the length of a vector.
+   higher among examples of label 1: by two-sample z score and at least ``MIN_LIFT`` times, in at least ``MIN_TEXTS`` of them; all such
+   terms, so their number is bounded by the texts of the examples alone. Other terms say nothing about the label and only add to the
+   length of a vector.
 3. *Vectors.* Every whole text is read once more for these terms; document frequencies cover all documents.
 4. *Index.* Examples with equal vectors are one entry. Entries lie in blocks of similar ones; each block has its
    own postings and, per term, the largest weight in it. A query adds these up to a bound of its cosine with anything in
    the block, takes blocks from the highest bound down, and stops when no bound reaches the k-th best cosine: the result is exact.
-   The index is bounded by the two limits above, so every task has a copy of it.
+   The index is bounded by the examples and these terms, so every task has a copy of it.
 5. *Scores.* Neighbours vote with the inverse of their distance. Votes of the examples themselves, each without
    its own, are set against their labels in bins; a rising step function from vote to share of label 1 is the calibration.
    A text without any of the terms gets the share among such examples.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from hawkgrid.llm.common import batches
 from hawkgrid.session import durable
 
-MAX_EXAMPLES, MAX_TERMS, MIN_Z, MIN_TEXTS, MIN_LIFT = 20_000, 2_000, 4.0, 4, 4.0
+MAX_EXAMPLES, MIN_Z, MIN_TEXTS, MIN_LIFT = 20_000, 4.0, 4, 4.0
 STEMS = range(3, 9)
 NEIGHBOURS, BLOCK, BINS, NEAR, PRIOR = 25, 64, 20, 0.05, 1.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,7 +68,7 @@ def sample_examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     return durable(parts[0].unionByName(parts[1])), {y: totals.get(y, 0) / max(min(totals.get(y, 0), half), 1) for y in (0, 1)}
 
 
-def select_terms(docs: DataFrame, examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+def select_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
     """Words that speak for label 1, from the distinct texts of the examples."""
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -91,7 +92,7 @@ def select_terms(docs: DataFrame, examples: DataFrame, max_terms: int = MAX_TERM
     p, q = (F.col("a") + 0.5) / (n + 1), (F.col("b") + 0.5) / (m + 1)
     z = (p - q) / F.sqrt(p * (1 - p) / n + q * (1 - q) / m)
     best = terms.where((F.col("term") != "") & (F.col("a") >= MIN_TEXTS) & (p >= MIN_LIFT * q)).select("term", z.alias("z")).where(F.col("z") >= MIN_Z)
-    return sorted(r["term"] for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect())
+    return sorted(r["term"] for r in best.select("term").collect())
 
 
 _VECTORS = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
@@ -213,7 +214,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("vote", p
                      ("similarity", pa.float64()), ("evidence", pa.list_(pa.string()))])
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score, vote, neighbours, nearest, similarity, evidence.
 
     ``score`` is the calibrated probability of label 1 (0 to 1); ``vote`` the neighbours' share before calibration (null
@@ -224,11 +225,11 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     """
     spark = docs.sparkSession
     examples, weights = sample_examples(docs, labels, max_examples)
-    terms = select_terms(docs, examples, max_terms)
+    terms = select_terms(docs, examples)
     found = durable(vectors(docs, terms))
     n_docs = found.count()
     df = np.zeros(len(terms))
-    for row in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # at most max_terms rows
+    for row in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # one row per term
         df[row["t"]] = row["n"]
     idf = np.log((n_docs + 1) / (df + 1)) + 1
     # At most max_examples short rows.
