@@ -22,16 +22,16 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkgrid.llm.common import batches, key_of, utf8
-from hawkgrid.llm.token_file import cuts_at_white_space, word_encoder
+from hawkgrid.llm.common import batches, key_of
+from hawkgrid.llm.token_file import cuts_at_white_space, slabs, word_encoder
 from hawkgrid.session import durable, shared_folder
 
 TOKEN_LIMIT = 2048
-_BLOCK_TEXTS = 256
 _SCHEMA = "digest binary, n_tokens long"
 _COUNTED = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
@@ -86,14 +86,14 @@ class CountCache:
 
 
 def _counter(path: str):
-    """A function from UTF-8 texts to token counts, with whatever the worker has loaded already."""
+    """A function from a column of texts to token counts, with whatever the worker has loaded already."""
     if path.endswith(".model"):
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in processor.encode([t.decode() for t in texts], num_threads=1)]
+        return lambda column: [len(x) for x in processor.encode(column.to_pylist(), num_threads=1)]
     coder = word_encoder(path)
-    return lambda texts: [len(x) // 4 for x in coder.encode(texts)]
+    return lambda column: np.diff(coder.encode_column(column)[1]).tolist()
 
 
 def encode_missing(texts: DataFrame, path: str) -> DataFrame:
@@ -102,11 +102,9 @@ def encode_missing(texts: DataFrame, path: str) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]):
         count, seen = _counter(path), set()
         for part in parts:
-            digests, raw = part.column(0).to_pylist(), utf8(part.column(1))
-            fresh = [k for k, d in enumerate(digests) if not (d in seen or seen.add(d))]
-            for low in range(0, len(fresh), _BLOCK_TEXTS):
-                some = fresh[low:low + _BLOCK_TEXTS]
-                yield from zip([digests[k] for k in some], count([raw[k] or b"" for k in some]), strict=True)
+            fresh = [k for k, d in enumerate(part.column(0).to_pylist()) if not (d in seen or seen.add(d))]
+            for some in slabs(part.take(pa.array(fresh, pa.int64())), 1):
+                yield from zip(some.column(0).to_pylist(), count(some.column(1)), strict=True)
 
     return texts.select("digest", "text").mapInArrow(lambda parts: batches(_COUNTED, rows(parts)), _SCHEMA)
 

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hawkgrid.llm.common import batches, shuffle_partitions, utf8
+from hawkgrid.llm.common import batches, shuffle_partitions
 from hawkgrid.llm.memo import Memo
 from hawkgrid.session import durable, shared_folder
 
@@ -43,9 +44,16 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 CHECKED = 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _MAX_WORDS = 400_000
+_BATCH_BYTES = 8 << 20
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 # A capital before a character beyond the Latin letters, which may be a combining mark.
-_COMBINED = re.compile(rb"[A-Z][\xCC-\xF4]")
-_STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+_COMBINED = r"[A-Z][^\x00-\x{24F}]"
+_COMBINED_RE = re.compile("[A-Z][^\x00-ɏ]")
+# Letters below this one have no combining marks among them.
+_LATIN_END = "ɐ"
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on.
+_ALPHABET = dict(enumerate(
+    [chr(b) if b in _PRINTED else chr(256 + b - sum(p < b for p in _PRINTED)) for b in range(256)]))
 
 
 #: The pre-tokenizer's pattern (fixed value) that never joins across white space and drops it.
@@ -74,9 +82,10 @@ def cuts_at_white_space(spec: dict) -> bool:
 class WordEncoder:
     """Ids of texts by a tokenizer of the tokenizers library, without added special tokens.
 
-    Where ``cuts_at_white_space`` holds, texts are cut at ASCII white space and at special tokens; each distinct word is encoded once
-    by the library and kept (bounded; rare words go first). ASCII capitals share a word's entry where the tokenizer
-    lower-cases. Other tokenizers, and stretches in which lower-casing would make a special token, are encoded whole.
+    Where ``cuts_at_white_space`` holds, a batch of texts is cut at ASCII white space, and only its distinct words are looked up; each is
+    encoded once by the library and kept (bounded; rare words go first). ASCII capitals share a word's entry where the
+    tokenizer lower-cases. Texts with special tokens are cut at these, too. Other tokenizers, and stretches in which lower-casing would
+    make a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -89,71 +98,100 @@ class WordEncoder:
             self.by_word = cuts_at_white_space(json.load(file))
         self.memo = Memo(_MAX_WORDS)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = {t.content.encode(): i for i, t in added.items() if t.content}
-        self.at_mark = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + b")") if self.marks else None
+        self.marks = {t.content: i for i, t in added.items() if t.content}
+        self.at_mark = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         upper, lower = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Ab cD", "ab cd"))
         self.fold = upper == lower
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        texts = [t or b"" for t in texts]
+        ids, ends = self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        return [ids[low:high].tobytes() for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, one after the other, and where each text begins and the last one ends."""
+        # A copy: kernels of this library version misread the offsets of sliced texts.
+        column = pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
         if not self.by_word:
-            return self._whole(texts)
-        odd, words = {}, []
-        for at, text in enumerate(texts):
-            folded = self._folded(text)
-            if any(mark in folded for mark in self.marks):
-                odd[at] = text
-                folded = b""
-            words.append(self._words(folded))
-        found = [b"".join(ids) for ids in self.memo.lookup(words, self._learn)]
-        for at, text in odd.items():
-            found[at] = self._with_marks(text)
-        return found
-
-    def _with_marks(self, text: bytes) -> bytes:
+            found = self._whole(column.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), _ends([len(x) // 4 for x in found])
+        folded = pc.ascii_lower(column) if self.fold else column
+        odd = np.zeros(len(column), bool)
+        for mark in self.marks:
+            odd |= pc.match_substring(folded, mark).to_numpy(zero_copy_only=False)
+        if self.fold:
+            odd |= pc.match_substring_regex(column, _COMBINED).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(odd).tolist()
+        if apart:
+            folded = folded.filter(pa.array(~odd))
+        lists = pc.ascii_split_whitespace(folded)
+        words = lists.flatten().dictionary_encode()
+        entries = self.memo.lookup([words.dictionary.to_pylist()], self._learn)[0]
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts, flat, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(entries), "<u4"), words.indices.to_numpy()
+        many = sizes[at]
+        after = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(starts[at] - after[:-1], many) + np.arange(after[-1])]
+        ends = after[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if not apart:
+            return ids, ends
+        others = {k: np.frombuffer(self._with_marks(column[k].as_py()), "<u4") for k in apart}
+        place = np.cumsum(~odd) - 1
+        parts = [others[k] if k in others else ids[ends[at]:ends[at + 1]] for k, at in enumerate(place.tolist())]
+        return np.concatenate(parts), _ends([len(x) for x in parts])
+
+    def _with_marks(self, text: str) -> bytes:
         out = []
         for part in self.at_mark.split(text):
             if part in self.marks:
                 out.append(struct.pack("<I", self.marks[part]))
-            elif any(mark in (folded := self._folded(part)) for mark in self.marks):
+                continue
+            # A-Z lower-cased, unless a mark may combine with a capital: there are letters that only one case has composed.
+            folded = part.encode().lower().decode() if self.fold and not re.search(_COMBINED_RE, part) else part
+            if any(mark in folded for mark in self.marks):
                 out += self._whole([part])
             elif part:
-                out += self.memo.lookup([self._words(folded)], self._learn)[0]
+                out += self.memo.lookup([[w.decode() for w in folded.encode().split()]], self._learn)[0]
         return b"".join(out)
 
-    def _folded(self, text: bytes) -> bytes:
-        """A-Z lower-cased, unless a mark may combine with a capital: there are letters that only one case has composed."""
-        return text.lower() if self.fold and not _COMBINED.search(text) else text
-
-    def _words(self, text: bytes) -> list[bytes]:
-        """Cut at white space and before a full stop or comma that ends a word: the pattern cuts there, too."""
-        return _STOP.sub(rb"\1 \2", text).split()
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
-    def _learn(self, words: list[bytes], block: int = 20_000) -> list[bytes]:
-        # A word of ASCII letters is one piece of the pattern and its own byte-level form: the model alone gives its ids.
-        known = {w: b"" for w in words}
-        model, others = self.tokenizer.model, []
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words. A full stop or comma behind a letter or digit is a piece of its own."""
+        current, need, stems = self.memo.current, {}, []
         for w in words:
-            if w.isalpha() and w.isascii() and w.islower():
-                ids = [t.id for t in model.tokenize(w.decode())]
+            stem = w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalnum() else w
+            stems.append(stem)
+            if stem not in current:
+                need[stem] = b""
+        self._encode_words(need)
+        stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
+        held = [current[s] if s in current else need[s] for s in stems]
+        return [h if s is w else h + stops[w[-1]] for h, s, w in zip(held, stems, words, strict=True)]
+
+    def _encode_words(self, known: dict[str, bytes], block: int = 20_000) -> None:
+        # A word of small Latin letters is one piece of the pattern and normal already: the library's model alone gives its ids.
+        model, others = self.tokenizer.model, []
+        for w in known:
+            if w.isalpha() and w.islower() and max(w) < _LATIN_END and w == w.lower():
+                ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_ALPHABET))]
                 known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            elif w:
                 others.append(w)
         for low in range(0, len(others), block):
             part = others[low:low + block]
-            texts = [w.decode() for w in part]
-            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(t) + 1 for t in part[:-1]]])
             begins = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
             cuts = [*(4 * np.searchsorted(begins, starts)).tolist(), 4 * len(coded.ids)]
             raw = np.array(coded.ids, "<u4").tobytes()
             known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        return [known[w] for w in words]
+
+
+def _ends(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -166,6 +204,16 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def slabs(part: pa.RecordBatch, column: int, size: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each (a longer text is a slice of its own)."""
+    sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes) // size
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), part.num_rows]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        if high > low:
+            yield part.slice(low, high - low)
+
+
 class FrameWriter:
     """Writes documents one by one; holds at most one frame and the document table."""
 
@@ -280,10 +328,10 @@ def write_token_files(
                     files.create_dir(local.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(local, compression=None)
                     writer, coder = FrameWriter(out), encoder(tokenizer)
-                ids, texts = part.column(0).to_pylist(), utf8(part.column(1))
-                for low in range(0, len(ids), 1000):
-                    for doc_id, code in zip(ids[low:], coder.encode(texts[low:low + 1000]), strict=False):
-                        writer.add(doc_id, code + end)
+                for some in slabs(part, 1):
+                    ids, ends = coder.encode_column(some.column(1))
+                    for doc_id, low, high in zip(some.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                        writer.add(doc_id, ids[low:high].tobytes() + end)
             if writer is not None:
                 writer.close()
                 done = True
