@@ -196,3 +196,12 @@ def _normalise(ip: Column) -> Column:
     text = F.trim(ip)
     v6 = let(_normalise_v6(text), lambda v: F.when(F.length(v) <= _MAX_TEXT, v))
     return F.when(is_ipv4(text), text).when(text.contains(":"), v6)
+
+
+def address_hex(ip: Column) -> Column:
+    """The 128 bits of an address as 32 hexadecimal digits, IPv4 as the mapped address; null if malformed. A zone is ignored."""
+    text = F.trim(ip)
+    four = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ipv4_number(text)), 8, "0")))
+    base = F.lower(F.split(text, "%", 2).getItem(0))
+    six = let(_fill(let(base, _expand_tail)), lambda groups: F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(is_ipv4(text), four).when(text.contains(":"), six)

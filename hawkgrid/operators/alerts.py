@@ -124,8 +124,7 @@ def upsert(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
 def replay_dead_letters(lines: DataFrame, limit: int | None = None, column: str = "value") -> DataFrame:
     """Alerts inside dead-letter lines as JSON text, with ``is_replay`` set; unusable lines are skipped.
 
-    The flag lets a replayed alert pass the repeat check of the correlation (``mark_replay`` carries it over to
-    the parsed alerts).
+    The flag lets a replayed alert pass the repeat check of the correlation; ``as_replay`` puts it into the message.
     """
     raw = F.col(column)
     is_object = F.json_object_keys(raw).isNotNull()
@@ -135,9 +134,13 @@ def replay_dead_letters(lines: DataFrame, limit: int | None = None, column: str
     return found if limit is None else found.limit(limit)
 
 
-def mark_replay(alerts: DataFrame) -> DataFrame:
-    """Set the flag that lets a replayed alert pass the repeat check."""
-    return alerts.withColumn("is_replay", F.lit(True))
+def as_replay(message: Column) -> Column:
+    """An alert message (JSON object text) with ``is_replay`` true."""
+    body = F.ltrim(message)
+    marked = F.array_contains(F.json_object_keys(message), "is_replay")
+    rest = F.ltrim(F.substr(body, F.lit(2)))
+    return F.when(marked, F.regexp_replace(message, r'"is_replay"\s*:\s*(?:true|false|null)', '"is_replay":true')).otherwise(
+        F.concat(F.lit('{"is_replay":true'), F.when(rest.startswith("}"), "").otherwise(","), rest))
 
 
 def backfill_tenant(rows: DataFrame, default_tenant: int) -> DataFrame:

@@ -82,7 +82,7 @@ def dns_windows(
         (~is_query & (safe_int(F.col("rcode")) == 3)).cast("bigint").alias("nx"), *keep,
     ).where(
         F.col("source_ip").isNotNull()
-        & F.when(F.col("kind") == 0, F.length("query").between(1, 253)).otherwise(dns["event_type"] == "dns_response")
+        & F.when(F.col("kind") == 0, F.length("query") > 0).otherwise(dns["event_type"] == "dns_response")
     ).withColumn("bin", time_bin("t_us", gap))
 
     t = F.col("t_us")

@@ -10,10 +10,11 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,9 @@ try:
 except ImportError:  # names are then scored in their normalised form
     idna = None
 
-# Decision thresholds. Queries longer than MAX_QUERY are not scored unless asked for.
+# Decision thresholds.
 DGA_THRESHOLD = 0.97
 FLOW_THRESHOLD = 0.0008
-MAX_QUERY = 253
 NON_ASCII = r"[^\x00-\x7F]"
 # Fixed values of training-set assembly.
 BENIGN_PREFIXES = ["www", "api", "mail", "dev", "staging"]
@@ -102,10 +102,10 @@ def fit_domain_model(labelled: DataFrame, hash_features: int = 4096, seed: int =
     return model, float(accuracy or 0.0)
 
 
-def score_domains(queries: DataFrame, model: PipelineModel, max_length: int | None = MAX_QUERY) -> DataFrame:
+def score_domains(queries: DataFrame, model: PipelineModel, max_length: int | None = None) -> DataFrame:
     """``query, score`` for each distinct query: the highest score over all its windows.
 
-    Queries longer than ``max_length`` are not scored; with None, all are.
+    All of them, unless ``max_length`` leaves out longer ones.
 
     Repeated queries are folded before scoring, with map-side combine. Windows of a query
     stay in its partition, so taking their maximum needs no further shuffle.
@@ -120,7 +120,7 @@ def score_domains(queries: DataFrame, model: PipelineModel, max_length: int | No
 
 
 def domain_detections(
-    dns: DataFrame, model: PipelineModel, threshold: float = DGA_THRESHOLD, max_length: int | None = MAX_QUERY,
+    dns: DataFrame, model: PipelineModel, threshold: float = DGA_THRESHOLD, max_length: int | None = None,
 ) -> DataFrame:
     """Detections for queries scored strictly above the threshold.
 
@@ -168,19 +168,37 @@ def reconstruction_error(model: FlowModel, vector: Column) -> Column:
     return total / n
 
 
+def flow_moments(flows: DataFrame) -> DataFrame:
+    """One row with ``n``, means ``m0``-``m4`` and covariances ``c00``-``c44`` of the flow vectors: one aggregation."""
+    x = flows.select(_shape(flows).alias("x")).select(*[F.col("x").getItem(i).alias(f"x{i}") for i in range(5)])
+    return x.agg(
+        F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(5)],
+        *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(5) for j in range(i, 5)])
+
+
+def flow_model(moments, components: int = 3, threshold: float = FLOW_THRESHOLD) -> FlowModel:
+    """The model of a row of ``flow_moments``: residual of the leading eigenvectors of a matrix of 5 by 5."""
+    if not moments["n"]:
+        raise ValueError("no benign flows to fit")
+    cov = np.array([[moments[f"c{min(i, j)}{max(i, j)}"] or 0.0 for j in range(5)] for i in range(5)])
+    _, vectors = np.linalg.eigh(cov)
+    axes = vectors[:, ::-1][:, :components]
+    residual = np.eye(5) - axes @ axes.T
+    return FlowModel([float(moments[f"m{i}"]) for i in range(5)], [[float(v) for v in row] for row in residual], threshold)
+
+
+def flow_threshold(held_out: DataFrame, model: FlowModel, sigmas: float = 4.0) -> float:
+    """Mean + ``sigmas`` standard deviations of the error on flows that the model was not fitted on."""
+    stats = score_flows(held_out, model).agg(
+        F.avg("reconstruction_mse").alias("m"), F.stddev_samp("reconstruction_mse").alias("s")).first()
+    return float((stats["m"] or 0.0) + sigmas * (stats["s"] or 0.0))
+
+
 def fit_flow_model(benign: DataFrame, components: int = 3, sigmas: float = 4.0, seed: int = 7) -> FlowModel:
-    """Fit on benign flows; threshold = mean + 4 standard deviations of held-out error."""
-    vectors = benign.select(_shape(benign).alias("x"))
-    train, held_out = vectors.randomSplit([0.8, 0.2], seed=seed)
-    n = 5
-    mean = [float(v) for v in train.agg(*[F.avg(F.col("x").getItem(i)) for i in range(n)]).first()]
-    pca = PCA(k=components, inputCol="v", outputCol="z").fit(train.select(array_to_vector("x").alias("v")))
-    axes = pca.pc.toArray()
-    residual = [[float((i == j) - axes[i] @ axes[j]) for j in range(n)] for i in range(n)]
-    draft = FlowModel(mean, residual, FLOW_THRESHOLD)
-    stats = held_out.select(reconstruction_error(draft, F.col("x")).alias("e")).agg(
-        F.avg("e").alias("m"), F.stddev_samp("e").alias("s")).first()
-    return FlowModel(mean, residual, float((stats["m"] or 0.0) + sigmas * (stats["s"] or 0.0)))
+    """Fit on four fifths of the benign flows; the others give the threshold. Two aggregations."""
+    train, held_out = benign.select("orig_bytes", "resp_bytes", "duration", "orig_pkts").randomSplit([0.8, 0.2], seed=seed)
+    draft = flow_model(flow_moments(train).first(), components)
+    return FlowModel(draft.mean, draft.residual, flow_threshold(held_out, draft, sigmas))
 
 
 def score_flows(conn: DataFrame, model: FlowModel) -> DataFrame:

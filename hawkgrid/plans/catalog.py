@@ -5,6 +5,7 @@ Set-valued columns come as sorted, comma-joined text, and computed doubles are r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from hawkgrid.functions import display, flow, text
 from hawkgrid.functions.net import normalise_ip
 from hawkgrid.operators import alerts as al
-from hawkgrid.operators import analyst, correlate, enrich, evaluate, incidents, models, playbooks, risk, rules
+from hawkgrid.operators import analyst, correlate, enrich, evaluate, gram_model, incidents, models, playbooks, risk, rules
 from hawkgrid.operators.conn_windows import conn_window_detections, conn_windows
 from hawkgrid.operators.dns_windows import dns_window_detections, dns_windows
-from hawkgrid.session import durable
+from hawkgrid.operators.ranges import longest_prefix
+from hawkgrid.session import durable, shared_folder
 from hawkgrid.sources import adapters, logs, packets
+from hawkgrid.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -376,6 +379,20 @@ def _ip_intel(alerts: DataFrame) -> DataFrame:
         F.concat(F.lit("isp-"), F.substring(F.md5("ip"), 1, 4)).alias("isp"), (F.col("ip") == "45.3.0.2").alias("hosting"))
 
 
+def range_intel(spark, sf):
+    """Narrowest of nested ranges around each address; ranges come from parts, suppliers and nations."""
+    t = lambda name: adapters.table(spark, sf, name)
+    block = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    part, supplier, nation = F.col("p_partkey"), F.col("s_suppkey"), F.col("n_nationkey")
+    ranges = t("part").select(block("45.", part % 200, ".", part % 250, ".0/24").alias("cidr"), F.concat(F.lit("part "), F.col("p_brand")).alias("owner"))
+    ranges = ranges.unionByName(t("supplier").where("s_suppkey % 3 <> 0").select(
+        block("45.", supplier % 200, ".0.0/16").alias("cidr"), F.col("s_name").alias("owner")))
+    ranges = ranges.unionByName(t("nation").select(block("45.", nation * 8, ".0.0/13").alias("cidr"), F.col("n_name").alias("owner")))
+    addresses = t("lineitem").select(block(
+        "45.", F.col("l_suppkey") % 250, ".", F.col("l_partkey") % 250, ".", F.col("l_linenumber")).alias("ip"))
+    return longest_prefix(addresses, ranges).select("ip", "owner", (F.col("bits") - 96).alias("prefix_length"))
+
+
 def enriched_alerts(spark, sf):
     a = _table(spark, sf)
     out = enrich.enrich(a, _ip_intel(a))
@@ -489,6 +506,21 @@ def alert_upsert(spark, sf):
     return al.upsert(target, twice, ["id"]).select("tenant_id", "alert_id", "severity", "id")
 
 
+def alert_table_merge(spark, sf):
+    """Three batches of a stored alert log, the first two compacted: base and newer rows read as one table."""
+    a = _table(spark, sf).select(
+        "tenant_id", "alert_id", "severity", F.col("id").alias("offset"),
+        F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    path = f"{shared_folder(spark)}/alert-table-{uuid.uuid4().hex}"
+    versions = [(a.where("offset % 3 <> 0"), None), (a.where("offset % 2 = 0"), "high"), (a.where("offset % 5 = 0"), "low")]
+    for number, (rows, severity) in enumerate(versions):
+        out = rows if severity is None else rows.withColumn("severity", F.lit(severity))
+        sinks.write_batch(out, path, number)
+        if number < 2:
+            sinks.AlertTable(spark, path).compact()
+    return sinks.AlertTable(spark, path).read().select("tenant_id", "alert_id", "severity", "timestamp")
+
+
 def tenant_backfill(spark, sf):
     a = stored_alerts(spark, sf).withColumn("tenant_id", F.when(F.col("tenant_id") != 2, F.col("tenant_id")))
     return al.backfill_tenant(a, 1).groupBy("tenant_id").agg(F.count("*").alias("alert_count"))
@@ -596,6 +628,55 @@ def dga_detections(spark, sf):
     return models.domain_detections(_dns(spark, sf), model).select("seq", "query", "rule_id", "severity", "confidence")
 
 
+def _gram_weights(spark, sf) -> DataFrame:
+    names = _queries(spark, sf).where(F.col("query").rlike(r"^[0-9a-v]{24}\.com$")).select(
+        F.col("query").alias("domain"), F.lit(1.0).alias("label"))
+    hosts = adapters.page_hosts(spark, sf).where("domain is not null").select("domain", F.lit(0.0).alias("label"))
+    return durable(gram_model.fit_weights(names.unionByName(hosts)))
+
+
+def dga_gram_weights(spark, sf):
+    return _gram_weights(spark, sf).select("gram", F.round(F.col("weight") / 10**9, 6).alias("weight"))
+
+
+def dga_window_max(spark, sf):
+    return gram_model.score_windows(_queries(spark, sf), _gram_weights(spark, sf)).select(
+        "query", F.round("score", 6).alias("score"))
+
+
+def dga_gate(spark, sf):
+    return gram_model.gram_detections(_dns(spark, sf), _gram_weights(spark, sf)).select(
+        "seq", "query", "rule_id", "severity", F.round("confidence", 6).alias("confidence"))
+
+
+#: A residual without eigenvectors for the SQL counterpart: what the first three coordinates leave.
+_PLAIN_RESIDUAL = [[0.0] * 5] * 3 + [[0.0, 0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 0.0, 1.0]]
+
+
+def _plain_flow_model(spark, sf) -> models.FlowModel:
+    """Means of four fifths of the benign flows; the threshold comes from the others."""
+    benign = _conn(spark, sf).where("user_id % 4 <> 0")
+    moments = models.flow_moments(benign.where("seq % 5 <> 0")).first()
+    draft = models.FlowModel([moments[f"m{i}"] for i in range(5)], _PLAIN_RESIDUAL, models.FLOW_THRESHOLD)
+    return models.FlowModel(draft.mean, draft.residual, models.flow_threshold(benign.where("seq % 5 = 0"), draft))
+
+
+def flow_moments(spark, sf):
+    out = models.flow_moments(_conn(spark, sf).where("user_id % 4 <> 0"))
+    return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns if c != "n"])
+
+
+def flow_scores(spark, sf):
+    model = _plain_flow_model(spark, sf)
+    return models.score_flows(_conn(spark, sf), model).select("seq", F.round("reconstruction_mse", 9).alias("reconstruction_mse"))
+
+
+def flow_threshold(spark, sf):
+    conn = _conn(spark, sf)
+    return models.flow_detections(conn, _plain_flow_model(spark, sf)).select(
+        "seq", "rule_id", "severity", F.round("confidence", 6).alias("confidence"))
+
+
 def flow_anomaly(spark, sf):
     conn = _conn(spark, sf)
     benign = conn.where("user_id % 4 <> 0 and kind <> 'purchase'")
@@ -630,11 +711,12 @@ def queries() -> dict[str, Query]:
         incident_queue, console_queue, queue_kpis, severity_stats, alert_page, alert_by_id, entity_search,
         related_incidents, timeline, talkers, threat_distribution, kill_chain, health,
         correlation_triggers, correlated_incidents, correlation_rollback,
-        ip_intel_fallback, enriched_alerts, domain_age_alerts, playbook_render,
+        ip_intel_fallback, range_intel, enriched_alerts, domain_age_alerts, playbook_render,
         flow_assembly, packet_dns, packet_dead_letters, log_parsing, log_rejects, alert_validation, alert_dead_letters,
-        dead_letter_replay, alert_upsert, tenant_backfill, triage_current, audit_page,
+        dead_letter_replay, alert_upsert, alert_table_merge, tenant_backfill, triage_current, audit_page,
         confusion_by_detector, composite_evaluation, threshold_sweep, family_recall, scenario_pivot,
         regression_gate, domain_overlap, leakage_free,
+        dga_gram_weights, dga_window_max, dga_gate, flow_moments, flow_scores, flow_threshold,
         dga_scores, dga_detections, flow_anomaly, flow_threshold_sweep, ip_normal_forms,
     ]
     return {q.__name__: q for q in named}

@@ -316,6 +316,8 @@ def _with(names: list[str]) -> str:
 
 def _sql(body: str) -> str:
     names = _needs(body)
+    if names and body.lstrip().startswith("WITH "):
+        return "WITH " + _with(names) + ",\n" + body.lstrip().removeprefix("WITH ")
     return ("WITH " + _with(names) + "\n" if names else "") + body
 
 
@@ -540,6 +542,33 @@ def _bodies() -> dict[str, str]:
         "dead_letter_replay": "SELECT alert_id FROM alerts WHERE id % 7 > 1",
         "alert_upsert": """SELECT tenant_id, alert_id, CASE WHEN id % 4 = 0 THEN 'low' WHEN id % 2 = 0 THEN 'high' ELSE severity END AS severity,
             CASE WHEN id % 4 = 0 THEN id + 1000000000000 ELSE id END AS id FROM alerts WHERE id % 3 <> 0 OR id % 2 = 0""",
+        "alert_table_merge": """SELECT tenant_id, alert_id, CASE WHEN id % 5 = 0 THEN 'low' WHEN id % 2 = 0 THEN 'high' ELSE severity END AS severity,
+            strftime(make_timestamp(t_us), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM alerts WHERE id % 3 <> 0 OR id % 2 = 0 OR id % 5 = 0""",
+        "range_intel": """
+          WITH r AS (
+            SELECT 45 * 16777216 + p_partkey % 200 * 65536 + p_partkey % 250 * 256 AS base, 24 AS len, 'part ' || p_brand AS owner FROM part
+            UNION ALL SELECT 45 * 16777216 + s_suppkey % 200 * 65536, 16, s_name FROM supplier WHERE s_suppkey % 3 <> 0
+            UNION ALL SELECT 45 * 16777216 + n_nationkey * 8 * 65536, 13, n_name FROM nation),
+          a AS (SELECT DISTINCT l_suppkey % 250 AS x, l_partkey % 250 AS y, l_linenumber AS z FROM lineitem),
+          h AS (SELECT '45.' || x::VARCHAR || '.' || y::VARCHAR || '.' || z::VARCHAR AS ip, r.len, r.owner FROM a JOIN r
+            ON r.base = (45 * 16777216 + x * 65536 + y * 256 + z) - (45 * 16777216 + x * 65536 + y * 256 + z) % (1 << (32 - r.len)))
+          SELECT ip, min(owner) AS owner, len AS prefix_length FROM h
+          WHERE len = (SELECT max(len) FROM h AS o WHERE o.ip = h.ip) GROUP BY ip, len""",
+        "packet_dead_letters": """SELECT seq, src_ip, dst_ip, proto, length,
+            CASE WHEN length IS NULL THEN 'Missing length' ELSE 'Length above 65535' END AS error
+            FROM packets WHERE NOT coalesce(length <= 65535, false)""",
+        "dga_gram_weights": f"WITH {_GRAM_FIT} SELECT gram, round(weight / 1e9, 6) AS weight FROM gw",
+        "dga_window_max": f"WITH {_GRAM_FIT}, {_GRAM_SCORE} SELECT query, round(score, 6) AS score FROM gs",
+        "dga_gate": f"""WITH {_GRAM_FIT}, {_GRAM_SCORE} SELECT seq, query, 'DL_CNN_DGA' AS rule_id, 'high' AS severity,
+            round(score, 6) AS confidence FROM dns JOIN gs USING (query) WHERE score > 0.97""",
+        "flow_moments": "SELECT count(*) AS n, " + ", ".join(
+            [f"round(avg(x{i}), 9) AS m{i}" for i in range(5)]
+            + [f"round(covar_samp(x{i}, x{j}), 9) AS c{i}{j}" for i in range(5) for j in range(i, 5)])
+            + f" FROM ({_FLOW_X}) WHERE user_id % 4 <> 0",
+        "flow_scores": f"WITH {_FLOW_FIT} SELECT seq, round(e, 9) AS reconstruction_mse FROM fe",
+        "flow_threshold": f"""WITH {_FLOW_FIT} SELECT seq, 'DL_AUTOENCODER_FLOW_ANOMALY' AS rule_id, 'medium' AS severity,
+            round(least(0.99, e / (2 * t)), 6) AS confidence FROM fe, (SELECT avg(e) + 4 * stddev_samp(e) AS t FROM fe
+              WHERE user_id % 4 <> 0 AND seq % 5 = 0) WHERE e > t""",
         "tenant_backfill": """SELECT CASE WHEN tenant_id = 2 THEN 1 ELSE tenant_id END AS tenant_id, count(*) AS alert_count
             FROM alerts GROUP BY 1""",
         "triage_current": """SELECT tenant_id, incident_id, status, updated_us FROM (SELECT *, row_number() OVER (
@@ -584,8 +613,38 @@ def _bodies() -> dict[str, str]:
     }
 
 
+# n-gram weights of names and their scores, window by window.
+_CUT = """flatten(list_transform({v}, lambda n: CASE WHEN length(n) > 35 THEN list_concat(
+  list_transform(range(1, length(n) - 33, 15), lambda i: substr(n, i, 35)),
+  CASE WHEN (length(n) - 35) % 15 <> 0 THEN [right(n, 35)] ELSE [] END) ELSE [n] END))"""
+_GRAMS = """list_concat(list_transform(range(1, length({t})), lambda i: substr({t}, i, 2)),
+  list_transform(range(1, length({t}) - 1), lambda i: substr({t}, i, 3)))"""
+_GRAM_FIT = f"""
+gl AS (SELECT DISTINCT query AS domain, 1 AS label FROM dns WHERE regexp_matches(query, '^[0-9a-v]{{24}}\\.com$')
+  UNION SELECT DISTINCT domain, 0 FROM hosts WHERE domain IS NOT NULL AND domain <> ''),
+gt AS (SELECT label, unnest({_CUT.replace('{v}', "[regexp_replace(lower(domain), '[^a-z0-9.-]', '-', 'g')]")}) AS text FROM gl),
+gg AS (SELECT label, unnest({_GRAMS.replace('{t}', 'text')}) AS gram FROM gt),
+gc AS (SELECT gram, count(*) FILTER (label = 1) AS bad, count(*) FILTER (label = 0) AS good FROM gg GROUP BY gram),
+gn AS (SELECT sum(bad) AS all_bad, sum(good) AS all_good, count(*) AS kinds FROM gc),
+gw AS (SELECT gram, round(ln(((bad + 1)::DOUBLE / (all_bad + kinds)) / ((good + 1)::DOUBLE / (all_good + kinds))) * 1e9)::BIGINT AS weight FROM gc, gn
+  UNION ALL SELECT '', round(ln((count(*) FILTER (label = 1) + 1)::DOUBLE / (count(*) FILTER (label = 0) + 1)) * 1e9)::BIGINT FROM gt)"""
+_GRAM_SCORE = f"""
+gq AS (SELECT DISTINCT d.query, unnest({_CUT.replace('{v}', 'v')}) AS text FROM dns d JOIN ({_VARIANTS}) USING (seq)),
+gx AS (SELECT DISTINCT text FROM gq), gy AS (SELECT text, unnest({_GRAMS.replace('{t}', 'text')}) AS gram FROM gx),
+gz AS (SELECT text, sum(weight) AS total FROM gy JOIN gw USING (gram) WHERE gram <> '' GROUP BY text),
+gs AS (SELECT query, 1 / (1 + exp(-(max(coalesce(total, 0)) + (SELECT weight FROM gw WHERE gram = ''))::DOUBLE / 1e9)) AS score
+  FROM gq LEFT JOIN gz USING (text) GROUP BY query)"""
+# Flow vectors, and the error of a model that the first three coordinates explain.
+_FLOW_X = "SELECT seq, user_id, " + ", ".join(
+    f"ln(1 + greatest(0, {e})::DOUBLE) / {s} AS x{i}" for i, (e, s) in enumerate([
+        ("orig_bytes", 15), ("resp_bytes", 15), ("duration", 10), ("orig_pkts", 10),
+        ("resp_bytes / greatest(1.0::DOUBLE, orig_bytes::DOUBLE)", 10)])) + " FROM conn"
+_FLOW_FIT = f"""fx AS ({_FLOW_X}), fm AS (SELECT avg(x3) AS m3, avg(x4) AS m4 FROM fx WHERE user_id % 4 <> 0 AND seq % 5 <> 0),
+fe AS (SELECT seq, user_id, ((x3 - m3) ** 2 + (x4 - m4) ** 2) / 5 AS e FROM fx, fm)"""
+
+
 def statements() -> dict[str, str]:
-    """SQL per registered query; the four model queries have none."""
+    """SQL per registered query; the queries of trained Spark ML models have none."""
     out = {name: _sql(body) for name, body in _bodies().items()}
     kept = "(SELECT * FROM feed WHERE alert_id NOT IN (SELECT alert_id FROM feed WHERE model_name = 'RULE_RECON_PORT_SCAN'))"
     out["correlation_triggers"] = _correlation(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hawkgrid.operators import alerts as al
+from hawkgrid.session import durable
 
 # Hours that rows of each topic are kept.
 RETENTION_HOURS = {"raw_traffic": 1, "security_alerts": 24, "incidents": 168, "dead_letter_events": 24}
@@ -56,22 +57,80 @@ def alert_sink(alerts_path: str, dead_path: str, tenant_id: int) -> Callable[[Da
 
 
 def current_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The alert table: the newest version of each (tenant, alert id)."""
+    """The newest version of each (tenant, alert id) of a log of batches."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     return al.last_per_key(rows, _KEYS, ["batch", "offset"]).drop("batch", "offset")
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the merged table, clustered by tenant, to a new folder."""
-    current_alerts(spark, path).repartition("tenant_id").write.mode("overwrite").partitionBy("tenant_id").parquet(target)
+class AlertTable:
+    """Alerts as a compacted base and the batches since: a snapshot table on plain files.
+
+    * ``batch=N`` folders below ``path``: what ``alert_sink`` writes.
+    * ``base``: one row per (tenant, alert id), partitioned by tenant and by the day on which the alert was first stored; a later
+      version stays in that partition, so an update never has to look elsewhere.
+    * ``merged``: a row per compaction with the last batch in the base. Readers take the highest; a compaction that fails before
+      its row is written is repeated with the same result.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._merged = f"{self.path}/merged"
+        spark.createDataFrame([], "upto long").write.mode("ignore").parquet(self._merged)
+
+    def upto(self) -> int:
+        """The last batch in the base, -1 without one."""
+        found = self.spark.read.schema("upto long").parquet(self._merged).agg(F.max("upto")).first()[0]
+        return -1 if found is None else found
+
+    def _newer(self, upto: int) -> DataFrame:
+        rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").where(F.col("batch") > upto)
+        return al.last_per_key(rows, _KEYS, ["batch", "offset"])
+
+    def _base(self, upto: int) -> DataFrame | None:
+        return None if upto < 0 else self.spark.read.parquet(f"{self.path}/base")
+
+    def read(self) -> DataFrame:
+        """The newest version of each alert; only batches since the last compaction are ranked."""
+        upto = self.upto()
+        newer, base = self._newer(upto), self._base(upto)
+        if base is not None:
+            newer = base.drop("day").join(newer.select(*_KEYS), _KEYS, "left_anti").unionByName(newer, allowMissingColumns=True)
+        return newer.drop("batch", "offset")
+
+    def compact(self) -> int:
+        """Merge the batches since the last compaction into the base; only partitions that they touch are written."""
+        upto = self.upto()
+        rows = durable(self._newer(upto))
+        last = rows.agg(F.max("batch")).first()[0]
+        if last is None:
+            return upto
+        day = F.date_format(F.to_timestamp("timestamp"), "yyyy-MM-dd")
+        base = self._base(upto)
+        if base is None:
+            out = rows.withColumn("day", day)
+        else:
+            stored = base.select(*_KEYS, F.col("day").cast("string").alias("_day"))
+            incoming = rows.join(stored, _KEYS, "left").withColumn("day", F.coalesce("_day", day)).drop("_day")
+            incoming = durable(incoming)
+            touched = incoming.select("tenant_id", "day").distinct()
+            kept = base.withColumn("day", F.col("day").cast("string")).join(touched, ["tenant_id", "day"], "left_semi").join(
+                incoming.select(*_KEYS), _KEYS, "left_anti")
+            out = durable(kept.unionByName(incoming, allowMissingColumns=True))
+        # Enough tasks for a tenant or day of any size: rows of a partition spread by their own ids.
+        out = out.repartition(F.col("tenant_id"), F.col("day"), F.pmod(F.xxhash64("alert_id"), F.lit(8)))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "day").parquet(f"{self.path}/base")
+        self.spark.createDataFrame([(last,)], "upto long").coalesce(1).write.mode("append").parquet(self._merged)
+        return last
 
 
 def replay_to(spark: SparkSession, dead_lines: str, target: str, limit: int | None = None, dry_run: bool = False) -> DataFrame:
-    """Send the alerts of a dead-letter file through the input folder again.
+    """Send the alerts of a dead-letter file through the input folder again, each marked as a replay.
 
-    Returns what is (or, in a dry run, would be) sent.
+    The mark is a field of the message, so it is there when the alert is parsed, stored and correlated. Returns what is (or, in
+    a dry run, would be) sent.
     """
     found = al.replay_dead_letters(spark.read.text(dead_lines), limit)
+    found = found.withColumn("value", al.as_replay(F.col("value")))
     if not dry_run:
         found.select("value").write.mode("append").text(target)
     return found

@@ -164,17 +164,45 @@ def test_alert_sink_dedupes_rejects_and_survives_a_retry(spark, tmp_path):
     assert rows == {"a1": (7, "low"), "a2": (7, "critical"), "a6": (7, "high")}
     errors = [r.error for r in spark.read.parquet(f"{dead}/batch=0").collect()]
     assert len(errors) == 4 and all(e.startswith("SchemaValidationError") for e in errors)
-    sinks.compact(spark, table, str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
+
+
+def test_alert_table_writes_only_touched_partitions(spark, tmp_path):
+    table, dead = str(tmp_path / "alerts"), str(tmp_path / "dead")
+    frame = lambda lines: spark.createDataFrame(list(enumerate(lines)), "offset long, value string")
+    stamps = {d: f"2024-01-0{d}T00:00:00Z" for d in (1, 2, 3)}
+    sinks.alert_sink(table, dead, 7)(frame([_message(i, timestamp=stamps[1 + i % 2]) for i in range(6)]), 0)
+    sinks.alert_sink(table, dead, 8)(frame([_message(1, timestamp=stamps[1])]), 1)
+    store = sinks.AlertTable(spark, table)
+    current = lambda: {(r.tenant_id, r.alert_id): r.severity for r in store.read().collect()}
+    first = current()
+    assert len(first) == 7 and store.compact() == 1 and current() == first
+    files = lambda: {p.relative_to(table): p.stat().st_mtime_ns for p in (tmp_path / "alerts" / "base").rglob("*.parquet")}
+    before = files()
+    # A newer version with another day stays in its alert's partition; a new alert opens one.
+    sinks.alert_sink(table, dead, 7)(frame([_message(1, severity="low", timestamp=stamps[3]), _message(9, timestamp=stamps[3])]), 2)
+    changed = first | {(7, "a1"): "low", (7, "a9"): "high"}
+    assert current() == changed and files() == before and store.compact() == 2 and current() == changed
+    after = files()
+    moved = {str(p.parent) for p in before.keys() ^ after.keys()}
+    assert moved == {"base/tenant_id=7/day=2024-01-02", "base/tenant_id=7/day=2024-01-03"}
+    assert store.compact() == 2 and files() == after
+    sinks.alert_sink(table, dead, 8)(frame([_message(1, severity="critical", timestamp=stamps[1])]), 3)
+    assert current()[8, "a1"] == "critical" and current()[7, "a1"] == "low"
 
 
 def test_dead_letter_replay(spark, tmp_path):
     source, target = tmp_path / "dead.jsonl", str(tmp_path / "input")
-    lines = [json.dumps({"error": "x", "alert": json.loads(_message(i))}) for i in range(3)]
+    lines = [json.dumps({"error": "x", "alert": json.loads(_message(i))}) for i in range(2)]
+    lines.append(json.dumps({"error": "x", "alert": json.loads(_message(2)) | {"is_replay": False}}))
     source.write_text("\n".join([*lines, "{oops", "", json.dumps({"error": "no alert"})]))
     assert sinks.replay_to(spark, str(source), target, dry_run=True).count() == 3
     sinks.replay_to(spark, str(source), target, limit=2)
     assert spark.read.text(target).count() == 2
+    # Through the sink and back: the mark is still there.
+    table = str(tmp_path / "alerts")
+    lines = spark.createDataFrame([(i, r.value) for i, r in enumerate(spark.read.text(target).collect())], "offset long, value string")
+    sinks.alert_sink(table, str(tmp_path / "dead"), 7)(lines, 0)
+    assert [r.is_replay for r in sinks.current_alerts(spark, table).collect()] == [True, True]
 
 
 def test_log_files_to_alerts(spark, tmp_path):
