@@ -20,7 +20,7 @@ from hawkgrid.operators.conn_windows import conn_window_detections, conn_windows
 from hawkgrid.operators.dns_windows import dns_window_detections, dns_windows
 from hawkgrid.operators.ranges import longest_prefix
 from hawkgrid.session import durable, shared_folder
-from hawkgrid.sources import adapters, logs, packets
+from hawkgrid.sources import adapters, logs, packets, topic
 from hawkgrid.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +521,16 @@ def alert_table_merge(spark, sf):
     return sinks.AlertTable(spark, path).read().select("tenant_id", "alert_id", "severity", "timestamp")
 
 
+def topic_roundtrip(spark, sf):
+    """Alerts written to a topic in two appends, and read again."""
+    a = stored_alerts(spark, sf)
+    rows = a.select(F.col("alert_id").alias("key"), F.concat_ws("|", "threat_class", "severity", "source_ip").alias("value"), "t_us", "id")
+    path = f"{shared_folder(spark)}/topic-{uuid.uuid4().hex}"
+    for part in (rows.where("id % 2 = 0"), rows.where("id % 2 <> 0")):
+        topic.write_topic(part, path)
+    return topic.read_topic(spark, path)
+
+
 def tenant_backfill(spark, sf):
     a = stored_alerts(spark, sf).withColumn("tenant_id", F.when(F.col("tenant_id") != 2, F.col("tenant_id")))
     return al.backfill_tenant(a, 1).groupBy("tenant_id").agg(F.count("*").alias("alert_count"))
@@ -713,7 +723,7 @@ def queries() -> dict[str, Query]:
         correlation_triggers, correlated_incidents, correlation_rollback,
         ip_intel_fallback, range_intel, enriched_alerts, domain_age_alerts, playbook_render,
         flow_assembly, packet_dns, packet_dead_letters, log_parsing, log_rejects, alert_validation, alert_dead_letters,
-        dead_letter_replay, alert_upsert, alert_table_merge, tenant_backfill, triage_current, audit_page,
+        dead_letter_replay, alert_upsert, alert_table_merge, topic_roundtrip, tenant_backfill, triage_current, audit_page,
         confusion_by_detector, composite_evaluation, threshold_sweep, family_recall, scenario_pivot,
         regression_gate, domain_overlap, leakage_free,
         dga_gram_weights, dga_window_max, dga_gate, flow_moments, flow_scores, flow_threshold,

@@ -544,6 +544,7 @@ def _bodies() -> dict[str, str]:
             CASE WHEN id % 4 = 0 THEN id + 1000000000000 ELSE id END AS id FROM alerts WHERE id % 3 <> 0 OR id % 2 = 0""",
         "alert_table_merge": """SELECT tenant_id, alert_id, CASE WHEN id % 5 = 0 THEN 'low' WHEN id % 2 = 0 THEN 'high' ELSE severity END AS severity,
             strftime(make_timestamp(t_us), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM alerts WHERE id % 3 <> 0 OR id % 2 = 0 OR id % 5 = 0""",
+        "topic_roundtrip": """SELECT alert_id AS key, threat_class || '|' || severity || '|' || source_ip AS value, t_us FROM alerts""",
         "range_intel": """
           WITH r AS (
             SELECT 45 * 16777216 + p_partkey % 200 * 65536 + p_partkey % 250 * 256 AS base, 24 AS len, 'part ' || p_brand AS owner FROM part

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hawkgrid.operators import alerts as al
 from hawkgrid.session import durable
+from hawkgrid.sources.topic import TopicLog
 
 # Hours that rows of each topic are kept.
 RETENTION_HOURS = {"raw_traffic": 1, "security_alerts": 24, "incidents": 168, "dead_letter_events": 24}
@@ -136,6 +137,6 @@ def replay_to(spark: SparkSession, dead_lines: str, target: str, limit: int | No
     return found
 
 
-def expired(rows: DataFrame, topic: str, now_us: int) -> DataFrame:
-    """Rows older than the topic keeps them."""
-    return rows.where(F.col("t_us") < now_us - RETENTION_HOURS[topic] * 3_600_000_000)
+def apply_retention(path: str, topic: str, now_us: int) -> int:
+    """Remove the entries of a topic folder whose rows are all older than the topic keeps them; returns how many."""
+    return TopicLog(path).expire(now_us - RETENTION_HOURS[topic] * 3_600_000_000)
