@@ -149,8 +149,11 @@ def incident_queue(
     return out.orderBy(F.col("risk_score").desc(), F.col("first_seen_us").desc(), "incident_id")
 
 
-def console_queue(queue: DataFrame, needle: str = "") -> DataFrame:
-    """Console view: severity, first class, target, source and status label are searchable."""
+def console_queue(queue: DataFrame, needle: str = "", entities: DataFrame | None = None) -> DataFrame:
+    """Console view: severity, first class, target, source and status label are searchable.
+
+    Targets come from the row (``affected_entities``, its first one) or, all of them, from the membership table ``entities``.
+    """
     label = F.upper("triage_status")
     for status, text in STATUS_LABELS.items():
         label = F.when(F.col("triage_status") == status, text).otherwise(label)
@@ -159,7 +162,12 @@ def console_queue(queue: DataFrame, needle: str = "") -> DataFrame:
     target = F.split("affected_entities", ",").getItem(0) if "affected_entities" in queue.columns else source
     out = queue.withColumn("status_label", label)
     if needle.strip():
-        out = out.where(_contains(F.concat_ws(" ", "severity", first_class, target, source, "status_label"), needle))
+        found = _contains(F.concat_ws(" ", "severity", first_class, target, source, "status_label"), needle)
+        if entities is not None:
+            keys = _shared(["incident_id"], out, entities)
+            hits = entities.where(_contains(F.col("entity"), needle)).select(*keys).distinct().withColumn("_entity_hit", F.lit(True))
+            out, found = out.join(hits, keys, "left"), found | F.col("_entity_hit").isNotNull()
+        out = out.where(found).drop("_entity_hit")
     return out.orderBy(F.col("risk_score").desc(), "incident_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hawkgrid.operators.rules import BEACON, BYTE_VOLUME, CONN_RATE, FLOW_MODEL, conn_conditions
+
 # Allowed change in percentage points, and candidate thresholds.
 MAX_POINTS, MAX_FAMILY_POINTS = 5.0, 10.0
 DGA_THRESHOLDS = [0.50, 0.70, 0.85, 0.90, 0.95, 0.97, 0.99, 0.995, 0.999, 0.9999]
@@ -87,6 +89,29 @@ def regressions(
     )
 
 
+def family_regressions(current: DataFrame, baseline: DataFrame, max_points: float = MAX_FAMILY_POINTS) -> DataFrame:
+    """Families whose recall (classifier, rule or either) fell by more than the points allowed for a family."""
+    return regressions(current, baseline, "family", max_points, ("classifier_recall", "rule_recall", "combined_recall"), ())
+
+
+def detector_hits(flow_threshold: float | None = None) -> dict[str, tuple[Column, Column]]:
+    """Condition and confidence of every detector on a connection with its window flags (and ``reconstruction_mse``).
+
+    Taken from the rules themselves; rules that share an id are one detector.
+    """
+    holds = {**conn_conditions(), CONN_RATE: F.col("is_flood"), BEACON: F.col("is_beacon"), BYTE_VOLUME: F.col("is_exfil")}
+    out: dict[str, tuple[Column, Column]] = {}
+    for rule, condition in holds.items():
+        before = out.get(rule.rule_id)
+        grade = F.lit(rule.confidence)
+        out[rule.rule_id] = (condition, grade) if before is None else (
+            before[0] | condition, F.when(before[0], before[1]).otherwise(grade))
+    if flow_threshold is not None:
+        mse = F.col("reconstruction_mse")
+        out[FLOW_MODEL.rule_id] = (mse > flow_threshold, F.least(F.lit(0.99), mse / (2 * flow_threshold)))
+    return out
+
+
 def composite_risk(hits: dict[str, tuple[Column, Column | float]]) -> Column:
     """Row-wise risk of the detectors that fire on one connection.
 

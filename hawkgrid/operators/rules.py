@@ -84,6 +84,20 @@ def _json(*cols: Column) -> Column:
     return F.to_json(F.struct(*cols))
 
 
+def conn_conditions() -> dict[Rule, Column]:
+    """When each rule over a connection's own columns holds (the fingerprint rule needs its list)."""
+    c = {n: F.col(n) for n in ("orig_pkts", "orig_bytes", "resp_bytes", "resp_p", "conn_state")}
+    flood = c["orig_pkts"] > 10000
+    small = (c["orig_bytes"] > 50) & (c["orig_bytes"] < 150) & (c["resp_bytes"] > 50) & (c["resp_bytes"] < 150)
+    return {
+        VOLUMETRIC: flood,
+        REJECT_FLOOD: ~flood & (c["conn_state"] == "REJ") & (c["orig_pkts"] >= 100),
+        HEARTBEAT: small & (c["resp_p"].isNull() | ~c["resp_p"].isin(80, 443, 53)),
+        PORT_SCAN: (c["conn_state"] == "S0") & (c["orig_pkts"] < 5),
+        EXFIL: (c["orig_bytes"] > 5_000_000) & (c["resp_bytes"] < 10_000),
+    }
+
+
 def conn_rules(conn: DataFrame, ja4: list[str] | DataFrame | None = None) -> DataFrame:
     """Volumetric, heartbeat, fingerprint, scan and exfiltration rules over connections.
 
@@ -100,21 +114,16 @@ def conn_rules(conn: DataFrame, ja4: list[str] | DataFrame | None = None) -> Dat
     else:
         bad_ja4 = c["ja4"].isin(DEFAULT_JA4 if ja4 is None else ja4)
     bad_ja4 = bad_ja4 & (c["ja4"] != "")
-    flood = c["orig_pkts"] > 10000
-    packets = _json(c["conn_state"], c["orig_pkts"])
-    small = (c["orig_bytes"] > 50) & (c["orig_bytes"] < 150) & (c["resp_bytes"] > 50) & (c["resp_bytes"] < 150)
+    packets, holds = _json(c["conn_state"], c["orig_pkts"]), conn_conditions()
     hits = [
-        (flood, detection(VOLUMETRIC, packets)),
-        (~flood & (c["conn_state"] == "REJ") & (c["orig_pkts"] >= 100), detection(REJECT_FLOOD, packets)),
-        (small & (c["resp_p"].isNull() | ~c["resp_p"].isin(80, 443, 53)),
-         detection(HEARTBEAT, _json(c["orig_bytes"], c["resp_bytes"],
-                                    F.coalesce(c["resp_p"], F.lit(0)).alias("port")))),
+        (holds[VOLUMETRIC], detection(VOLUMETRIC, packets)),
+        (holds[REJECT_FLOOD], detection(REJECT_FLOOD, packets)),
+        (holds[HEARTBEAT], detection(HEARTBEAT, _json(
+            c["orig_bytes"], c["resp_bytes"], F.coalesce(c["resp_p"], F.lit(0)).alias("port")))),
         (bad_ja4, detection(JA4, _json(c["ja4"].alias("ja4_fingerprint"),
                                        F.lit("Anomalous Cipher Suite").alias("tls_metadata")))),
-        ((c["conn_state"] == "S0") & (c["orig_pkts"] < 5),
-         detection(PORT_SCAN, _json(F.lit("S0").alias("conn_state"), c["resp_p"].alias("target_port")))),
-        ((c["orig_bytes"] > 5_000_000) & (c["resp_bytes"] < 10_000),
-         detection(EXFIL, _json(c["orig_bytes"], c["resp_bytes"]))),
+        (holds[PORT_SCAN], detection(PORT_SCAN, _json(F.lit("S0").alias("conn_state"), c["resp_p"].alias("target_port")))),
+        (holds[EXFIL], detection(EXFIL, _json(c["orig_bytes"], c["resp_bytes"]))),
     ]
     return fire(conn, hits).select(*keep, *DETECTION_FIELDS)
 

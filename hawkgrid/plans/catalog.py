@@ -98,16 +98,7 @@ def _labelled_hits(spark, sf) -> tuple[DataFrame, dict]:
     flags = conn_windows(conn, rate_min_count=RATE_MIN).select("seq", "is_flood", "is_beacon", "is_exfil")
     rows = conn.join(flags, "seq").withColumns({
         "is_botnet": F.col("user_id") % 4 == 0, "scenario": F.col("user_id") % 13})
-    c = F.col
-    small = c("orig_bytes").between(51, 149) & c("resp_bytes").between(51, 149)
-    hits = {
-        "RULE_DDOS_VOLUMETRIC": (c("orig_pkts") > 10000) | ((c("conn_state") == "REJ") & (c("orig_pkts") >= 100)),
-        "RULE_C2_HEARTBEAT": small & ~c("resp_p").isin(80, 443, 53),
-        "RULE_RECON_PORT_SCAN": (c("conn_state") == "S0") & (c("orig_pkts") < 5),
-        "RULE_CONN_EXFIL": (c("orig_bytes") > 5_000_000) & (c("resp_bytes") < 10_000),
-        "RULE_DDOS_CONN_RATE": c("is_flood"), "RULE_C2_BEACON_PERIODIC": c("is_beacon"),
-        "RULE_EXFIL_BYTE_VOLUME": c("is_exfil"),
-    }
+    hits = {name: condition for name, (condition, _) in evaluate.detector_hits().items()}
     return rows, hits
 
 
@@ -292,6 +283,11 @@ def console_queue(spark, sf):
     return analyst.console_queue(_queue(spark, sf), "ack").select("incident_id", "severity", "status_label")
 
 
+def console_target(spark, sf):
+    found = analyst.console_queue(_queue(spark, sf), "45.3.0.2", incidents.incident_entities(stored_alerts(spark, sf)))
+    return found.select("incident_id", "severity", "status_label")
+
+
 def queue_kpis(spark, sf):
     return analyst.queue_kpis(_queue(spark, sf)).withColumn("avg_risk", F.round("avg_risk", 1))
 
@@ -561,21 +557,35 @@ def confusion_by_detector(spark, sf):
     return _metrics(evaluate.confusion(rows, "is_botnet", hits))
 
 
-_CONFIDENCE = {
-    "RULE_DDOS_VOLUMETRIC": 0.85, "RULE_C2_HEARTBEAT": 0.85, "RULE_RECON_PORT_SCAN": 0.75, "RULE_CONN_EXFIL": 0.85,
-    "RULE_DDOS_CONN_RATE": 0.95, "RULE_C2_BEACON_PERIODIC": 0.40, "RULE_EXFIL_BYTE_VOLUME": 0.95,
-}
-
-
 def composite_evaluation(spark, sf):
-    rows, hits = _labelled_hits(spark, sf)
-    confidence = {n: c for n, c in _CONFIDENCE.items()}
-    confidence["RULE_DDOS_VOLUMETRIC"] = F.when(F.col("orig_pkts") > 10000, 0.95).otherwise(0.85)
-    scored = rows.withColumn("risk", evaluate.composite_risk({n: (hits[n], confidence[n]) for n in hits}))
+    rows, _ = _labelled_hits(spark, sf)
+    scored = rows.withColumn("risk", evaluate.composite_risk(evaluate.detector_hits()))
     return _metrics(evaluate.confusion(
         scored, "is_botnet", {"composite": F.col("risk") >= evaluate.INCIDENT_RISK}, ("scenario",)))
 
 
+def composite_detectors(spark, sf):
+    """All detectors, the flow model among them: their pooled risk, any of them, and each alone."""
+    rows, _ = _labelled_hits(spark, sf)
+    model = _plain_flow_model(spark, sf)
+    hits = evaluate.detector_hits(model.threshold)
+    scored = models.score_flows(rows, model).withColumn("risk", evaluate.composite_risk(hits))
+    alone = {name: condition for name, (condition, _) in hits.items()}
+    union = reduce(lambda x, y: x | y, (F.coalesce(h, F.lit(False)) for h in alone.values()))
+    return _metrics(evaluate.confusion(
+        scored, "is_botnet", {"composite": F.col("risk") >= evaluate.INCIDENT_RISK, "any": union, **alone}))
+
+
+def family_gate(spark, sf):
+    conn = _conn(spark, sf).withColumns({
+        "is_botnet": F.col("user_id") % 4 == 0, "family": F.concat_ws("-", "kind", (F.col("user_id") % 13).cast("string"))})
+    early = F.col("t_us") < 21_600_000_000
+    recall = lambda rows: evaluate.family_recall(
+        rows, "family", "is_botnet", F.col("orig_bytes") > 2000, F.col("orig_pkts") % 3 == 0)
+    return evaluate.family_regressions(recall(conn.where(~early)), recall(conn.where(early))).select(
+        "family", "metric", *_round(baseline=6, value=6, delta_points=4))
+
+
 def threshold_sweep(spark, sf):
     q = _queries(spark, sf).withColumns({
         "is_dga": F.col("query").rlike(r"^[0-9a-v]{24}\.com$"),
@@ -718,13 +728,13 @@ def queries() -> dict[str, Query]:
         conn_rate, bulk_exfil, beacon_periodic, conn_window_alerts, flow_windows,
         dns_burst_distinct, dns_burst_large, dns_burst_nxdomain, dns_window_alerts,
         risk_score, incidents_by_source, incidents_page, incident_members, incident_entities, tenant_queue, incident_detail,
-        incident_queue, console_queue, queue_kpis, severity_stats, alert_page, alert_by_id, entity_search,
+        incident_queue, console_queue, console_target, queue_kpis, severity_stats, alert_page, alert_by_id, entity_search,
         related_incidents, timeline, talkers, threat_distribution, kill_chain, health,
         correlation_triggers, correlated_incidents, correlation_rollback,
         ip_intel_fallback, range_intel, enriched_alerts, domain_age_alerts, playbook_render,
         flow_assembly, packet_dns, packet_dead_letters, log_parsing, log_rejects, alert_validation, alert_dead_letters,
         dead_letter_replay, alert_upsert, alert_table_merge, topic_roundtrip, tenant_backfill, triage_current, audit_page,
-        confusion_by_detector, composite_evaluation, threshold_sweep, family_recall, scenario_pivot,
+        confusion_by_detector, composite_evaluation, composite_detectors, family_gate, threshold_sweep, family_recall, scenario_pivot,
         regression_gate, domain_overlap, leakage_free,
         dga_gram_weights, dga_window_max, dga_gate, flow_moments, flow_scores, flow_threshold,
         dga_scores, dga_detections, flow_anomaly, flow_threshold_sweep, ip_normal_forms,

@@ -8,10 +8,17 @@ from hawkgrid.functions.net import INTERNAL_V4, PUBLIC_EXCEPTIONS_V4
 from hawkgrid.functions.playbook_text import ALIASES, DEFAULT_KEY, TEMPLATES
 from hawkgrid.functions.text import KNOWN_INFRA_SUFFIXES
 from hawkgrid.operators.enrich import COUNTRIES, NETWORKS, SUSPICIOUS_COUNTRIES
-from hawkgrid.plans.catalog import _CONFIDENCE, RULE_ORDER
+from hawkgrid.plans.catalog import RULE_ORDER
 from hawkgrid.sources.packets import QTYPES, RCODES
 
 
+# Confidence of each detector, stated here again.
+_CONFIDENCE = {
+    "RULE_DDOS_VOLUMETRIC": 0.85, "RULE_C2_HEARTBEAT": 0.85, "RULE_RECON_PORT_SCAN": 0.75, "RULE_CONN_EXFIL": 0.85,
+    "RULE_DDOS_CONN_RATE": 0.95, "RULE_C2_BEACON_PERIODIC": 0.40, "RULE_EXFIL_BYTE_VOLUME": 0.95,
+}
+
+
 def _q(value) -> str:
     return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
 
@@ -462,6 +469,8 @@ def _bodies() -> dict[str, str]:
             WHERE triage_status <> 'false_positive' AND (contains(lower(incident_id || ' ' || threat_classes), '10.0.0.1')
               OR incident_id IN (SELECT incident_id FROM entities WHERE contains(entity, '10.0.0.1')))""",
         "console_queue": """SELECT incident_id, severity, 'ACK' AS status_label FROM queue WHERE triage_status = 'acknowledged'""",
+        "console_target": """SELECT incident_id, severity, CASE triage_status WHEN 'acknowledged' THEN 'ACK' WHEN 'false_positive' THEN 'FALSE POS' ELSE upper(triage_status) END AS status_label
+            FROM queue WHERE incident_id IN (SELECT 'INC-' || replace(source_ip, '.', '-') FROM alerts WHERE destination_ip LIKE '%45.3.0.2%')""",
         "queue_kpis": """SELECT count(*) FILTER (WHERE triage_status = 'open') AS needs_triage,
             count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
             count(*) FILTER (WHERE triage_status <> 'false_positive') AS active,
@@ -584,6 +593,24 @@ def _bodies() -> dict[str, str]:
             f'CASE WHEN "{n}" THEN ' + ("ln((CASE WHEN orig_pkts > 10000 THEN 0.95 ELSE 0.85 END) / (1 - (CASE WHEN orig_pkts > 10000 "
             "THEN 0.95 ELSE 0.85 END)))" if n == "RULE_DDOS_VOLUMETRIC" else f"ln({c} / (1 - {c}))") + " ELSE 0 END"
             for n, c in _CONFIDENCE.items()) + "))), 2) ELSE 0 END AS risk FROM hits) GROUP BY scenario"),
+        "composite_detectors": "WITH " + _FLOW_FIT + """,
+            ft AS (SELECT avg(e) + 4 * stddev_samp(e) AS t FROM fe WHERE user_id % 4 <> 0 AND seq % 5 = 0),
+            ch AS (SELECT h.*, e > t AS "DL_AUTOENCODER_FLOW_ANOMALY", least(0.99, greatest(0.01, e / (2 * t))) AS flow_conf
+              FROM hits h JOIN fe USING (seq), ft),
+            cr AS (SELECT *, """ + " OR ".join(f'"{n}"' for n in (*_CONFIDENCE, _FLOW)) + """ AS fires, """ + " + ".join(
+                f'CASE WHEN "{n}" THEN ln({c} / (1 - {c})) ELSE 0 END' for n, c in (
+                    *((n, c) for n, c in _CONFIDENCE.items() if n != "RULE_DDOS_VOLUMETRIC"),
+                    ("RULE_DDOS_VOLUMETRIC", "(CASE WHEN orig_pkts > 10000 THEN 0.95 ELSE 0.85 END)"), (_FLOW, "flow_conf"))) + """ AS odds FROM ch),
+            cl AS (SELECT is_botnet, 'composite' AS detector, fires AND round(100.0 / (1.0 + exp(-odds)), 2) >= 50 AS hit FROM cr
+              UNION ALL SELECT is_botnet, 'any', fires FROM cr""" + "".join(
+                f""" UNION ALL SELECT is_botnet, '{n}', "{n}" FROM cr""" for n in (*_CONFIDENCE, _FLOW)) + ")" + _with_metrics(
+            "detector", f"SELECT detector, {_cells('hit', 'is_botnet')} FROM cl GROUP BY detector"),
+        "family_gate": """WITH fg AS (SELECT kind || '-' || (user_id % 13)::VARCHAR AS family, t_us < 21600000000 AS early,
+              avg((orig_bytes > 2000)::INT) AS classifier_recall, avg((orig_pkts % 3 = 0)::INT) AS rule_recall,
+              avg((orig_bytes > 2000 OR orig_pkts % 3 = 0)::INT) AS combined_recall FROM conn WHERE user_id % 4 = 0 GROUP BY ALL),
+            fu AS (UNPIVOT fg ON classifier_recall, rule_recall, combined_recall INTO NAME metric VALUE v)
+            SELECT n.family, n.metric, round(b.v, 6) AS baseline, round(n.v, 6) AS value, round((n.v - b.v) * 100, 4) AS delta_points
+            FROM fu n JOIN fu b ON n.family = b.family AND n.metric = b.metric AND b.early AND NOT n.early WHERE (n.v - b.v) * 100 < -10""",
         "threshold_sweep": _with_metrics("threshold", f"""SELECT threshold, {_cells('score > threshold', 'is_dga')} FROM (
             SELECT regexp_matches(query, '^[0-9a-v]{{24}}\\.com$') AS is_dga, label_entropy / 4.5::DOUBLE AS score,
               unnest([0.5, 0.7, 0.81, 0.85, 0.9, 0.97]::DOUBLE[]) AS threshold FROM dns_feat) GROUP BY threshold"""),
@@ -640,6 +667,7 @@ _FLOW_X = "SELECT seq, user_id, " + ", ".join(
     f"ln(1 + greatest(0, {e})::DOUBLE) / {s} AS x{i}" for i, (e, s) in enumerate([
         ("orig_bytes", 15), ("resp_bytes", 15), ("duration", 10), ("orig_pkts", 10),
         ("resp_bytes / greatest(1.0::DOUBLE, orig_bytes::DOUBLE)", 10)])) + " FROM conn"
+_FLOW = "DL_AUTOENCODER_FLOW_ANOMALY"
 _FLOW_FIT = f"""fx AS ({_FLOW_X}), fm AS (SELECT avg(x3) AS m3, avg(x4) AS m4 FROM fx WHERE user_id % 4 <> 0 AND seq % 5 <> 0),
 fe AS (SELECT seq, user_id, ((x3 - m3) ** 2 + (x4 - m4) ** 2) / 5 AS e FROM fx, fm)"""
 
