@@ -102,15 +102,20 @@ def conn_rules(conn: DataFrame, ja4: list[str] | DataFrame | None = None) -> Dat
     """Volumetric, heartbeat, fingerprint, scan and exfiltration rules over connections.
 
     ``ja4`` is a short list, or a table with a ``ja4`` column; a table is joined
-    without a hint, so Spark broadcasts it only under its size threshold. In a stream
-    the table is read again for each micro-batch.
+    without a hint, so Spark broadcasts it only under its size threshold. If the table has ``valid_from_us`` and
+    ``valid_to_us`` (null: still valid), a fingerprint counts for events from the one until before the other.
     """
     keep = conn.columns
     c = {n: F.col(n) for n in keep}
     if isinstance(ja4, DataFrame):
-        listed = ja4.select(F.col("ja4"), F.lit(True).alias("_listed")).distinct()
+        if "valid_from_us" in ja4.columns:
+            listed = ja4.groupBy("ja4").agg(F.collect_set(F.struct("valid_from_us", "valid_to_us")).alias("_listed"))
+            holds = F.exists("_listed", lambda v: (c["t_us"] >= v["valid_from_us"]) & (
+                v["valid_to_us"].isNull() | (c["t_us"] < v["valid_to_us"])))
+        else:
+            listed, holds = ja4.select("ja4", F.lit(True).alias("_listed")).distinct(), F.col("_listed")
         conn = conn.join(listed, "ja4", "left")
-        bad_ja4 = F.coalesce(F.col("_listed"), F.lit(False))
+        bad_ja4 = F.coalesce(holds, F.lit(False))
     else:
         bad_ja4 = c["ja4"].isin(DEFAULT_JA4 if ja4 is None else ja4)
     bad_ja4 = bad_ja4 & (c["ja4"] != "")

@@ -112,6 +112,19 @@ def start_alerts(alerts: DataFrame, path: str, checkpoint: str, ip_intel: DataFr
         .trigger(**_trigger(every)).start())
 
 
+def start_rule_alerts(events: DataFrame, path: str, checkpoint: str, ja4_path: str, every: str | None = None) -> StreamingQuery:
+    """Rule alerts of a stream of events; the fingerprint table (Parquet) is read anew per micro-batch, so a list that
+    was replaced or extended holds from the next batch on. Rows with ``valid_from_us`` hold for events from then on.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sinks.write_batch(stateless_alerts(batch, batch.sparkSession.read.parquet(ja4_path)), path, batch_id)
+
+    return (
+        events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every)).start())
+
+
 def start_incidents(
     alerts: DataFrame, path: str, checkpoint: str, every: str | None = None, window_s: float = 300.0, min_risk: float = 50.0,
 ) -> StreamingQuery:

@@ -130,6 +130,24 @@ def test_files_to_incidents_in_one_query(spark, tmp_path):
     assert all(r.trace_id and r.trace_id[0] in "CD" for r in found) and max(r.risk_score for r in found) > 99
 
 
+def test_a_fingerprint_holds_from_the_batch_it_is_added_before(spark, tmp_path):
+    source, out, table = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ja4")
+    source.mkdir()
+    events = [{"event_type": "conn", "ts": 10.0 + i, "seq": i, "uid": f"C{i}", "id.orig_h": "10.0.0.1", "id.resp_h": "8.8.8.8",
+               "conn_state": "SF", "orig_pkts": 5, "id.resp_p": 443, "orig_bytes": 1, "resp_bytes": 1, "ja4": ja4}
+              for i, ja4 in enumerate(("old", "new", "old", "new", "timed", "timed"))]
+    versions = "ja4 string, valid_from_us long, valid_to_us long"
+    spark.createDataFrame([("old", 0, None)], versions).write.parquet(table)
+    for k, (part, added) in enumerate(((events[:2], [("new", 0, None), ("timed", 14_500_000, None)]), (events[2:], []))):
+        (source / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        lines = spark.readStream.text(str(source)).withColumn("file", F.lit(None).cast("string"))
+        jobs.start_rule_alerts(logs.parse_events(lines, "s1"), out, str(tmp_path / "check"), table).awaitTermination(120)
+        if added:
+            spark.createDataFrame(added, versions).write.mode("append").parquet(table)
+    found = {(r.batch, r.seq) for r in spark.read.option("basePath", out).parquet(f"{out}/batch=*").collect()}
+    assert found == {(0, 0), (1, 2), (1, 3), (1, 5)}
+
+
 def test_late_events_are_repaired_in_batch(spark):
     rows = spark.createDataFrame(
         [("10.0.0.1", "1.1.1.1", i * S, i, 100) for i in range(40)] + [("10.0.0.2", "1.1.1.1", 5 * S, 90, 1)],
