@@ -424,3 +424,21 @@ def jaccard_components(docs: DataFrame, n_words: int = N_WORDS, threshold: float
     return sizes.join(of_row, "row", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("row").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: The same rows by comparing all candidates of a label, or of an n-gram, with each other.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+h AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+k AS (SELECT gram, row_number() OVER () AS k FROM h GROUP BY gram HAVING count(*) > 1),
+g AS (SELECT h.doc_id, h.n, k.k AS gram FROM h JOIN k USING (gram)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.reached = l.a)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, m.component_id
+FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM c GROUP BY doc_id) AS m USING (doc_id)
+"""

@@ -120,4 +120,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_mixing": mixing.SQL, "op13_merkle": merkle.SQL}
+    return {
+        "op4_line_dedup": OP4_SQL, "op6_cover_tree": cover_tree.SQL, "op7_mixing": mixing.SQL, "op8_ngram_join": ngram_join.SQL,
+        "op13_merkle": merkle.SQL}
