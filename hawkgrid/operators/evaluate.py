@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from hawkgrid.operators.rules import BEACON, BYTE_VOLUME, CONN_RATE, FLOW_MODEL, conn_conditions
 
-# Allowed change in percentage points, and candidate thresholds.
+# Allowed change in percentage points, and the risk from which an incident counts.
 MAX_POINTS, MAX_FAMILY_POINTS = 5.0, 10.0
-DGA_THRESHOLDS = [0.50, 0.70, 0.85, 0.90, 0.95, 0.97, 0.99, 0.995, 0.999, 0.9999]
 INCIDENT_RISK = 50.0
 
 

@@ -1,4 +1,4 @@
-"""Schemas of raw events, alerts, packets and the analyst tables."""
+"""Schemas of raw events and alerts."""
 
 from __future__ import annotations
 
@@ -28,19 +28,3 @@ ALERT = _fields(
     ("evidence", _S), ("model_name", _S), ("model_version", _S), ("schema_version", _S),
     ("is_replay", T.BooleanType()),
 )
-
-PACKET = _fields(
-    ("ts", T.TimestampType()), ("seq", _L), ("src_ip", _S), ("src_port", T.IntegerType()), ("dst_ip", _S),
-    ("dst_port", T.IntegerType()), ("proto", _S), ("length", T.IntegerType()), ("dns_qr", T.IntegerType()),
-    ("dns_query", _S), ("dns_qtype", T.IntegerType()), ("dns_rcode", T.IntegerType()),
-)
-
-TRIAGE = _fields(
-    ("tenant_id", _L), ("incident_id", _S), ("status", _S), ("note", _S), ("actor_user_id", _L),
-    ("updated_us", _L),
-)
-
-AUDIT = _fields(
-    ("id", _L), ("tenant_id", _L), ("actor_user_id", _L), ("actor_label", _S), ("action", _S),
-    ("target", _S), ("detail", _S), ("ip_address", _S), ("created_us", _L),
-)

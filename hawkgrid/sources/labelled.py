@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hawkgrid.functions.flow import zeek_state
 from hawkgrid.functions.parse import epoch_us
+from hawkgrid.functions.repeats import with_occurrence
 
 _FLOW = ["orig_bytes", "resp_bytes", "tot_pkts"]
 
@@ -49,7 +50,8 @@ def composite_flows(spark: SparkSession, path: str) -> DataFrame:
     """Flows with endpoints and time, for replaying all connection detectors."""
     rows = _csv(spark, path, ["label", "scenario", "dport", "state", *_FLOW, "duration", "src_addr", "dst_addr",
                               "timestamp"])
-    # The scenario becomes part of the sequence key, so equal times keep a fixed order.
+    # The scenario becomes part of the sequence key, so equal times keep a fixed order; equal rows are told apart by number.
+    rows = with_occurrence(rows)
     order = F.xxhash64(*[F.col(c) for c in rows.columns])
     return rows.select(
         (F.col("label") == "botnet").alias("is_botnet"), "scenario", F.col("src_addr").alias("orig_h"),

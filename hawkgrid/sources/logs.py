@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hawkgrid.functions.parse import epoch_us, safe_float, safe_int
+from hawkgrid.functions.repeats import with_occurrence
 from hawkgrid.schema import RAW_EVENT
 
 MAX_PAYLOAD = 5 * 1024 * 1024
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all log files under ``path`` with their file name."""
-    return spark.read.text(path).withColumn("file", F.input_file_name())
+    """Lines of all log files under ``path`` with their file name, equal lines of a file numbered."""
+    return with_occurrence(spark.read.text(path).withColumn("file", F.input_file_name()))
 
 
 def stream_logs(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -47,7 +48,8 @@ def parse_events(
     An ``event_type`` inside the line wins only for topics (lines with ``offset``); for files the name decides,
     and the line is asked only where the name tells nothing. The tenant belongs to the sensor: what a
     line says about it is ignored. ``seq`` is a line's own number or, where it has none, a hash of file,
-    ``uid``, ``ts`` and the line: the same on every run, so ids made from it stay the same, too.
+    ``uid``, ``ts``, the line and, from the second of equal lines on, its ``occurrence`` (``read_logs`` counts them; in a stream
+    equal lines of a file share their number): the same on every run, so ids made from it stay the same, too.
     """
     raw = F.trim(F.col("value"))
     parsed = lines.where(F.length(raw) > 0).select(
@@ -57,6 +59,8 @@ def parse_events(
     by_place = F.coalesce(inside, outside) if "offset" in lines.columns else F.coalesce(outside, inside)
     kind = event_type if event_type is not None else by_place
     own = F.xxhash64("file", F.col("_e.uid"), F.col("_e.ts"), "raw_payload") if "file" in lines.columns else F.xxhash64("raw_payload")
+    if "occurrence" in lines.columns:
+        own = F.when(F.col("occurrence") > 1, F.xxhash64(own, "occurrence")).otherwise(own)
     error = (
         F.when(F.octet_length("raw_payload") > MAX_PAYLOAD, "Payload exceeds 5MB")
         .when(F.col("_keys").isNull(), "Malformed JSON")

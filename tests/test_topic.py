@@ -68,3 +68,13 @@ def test_topic_to_job_to_topic(spark, tmp_path):
     start_topic_sink(out, alerts, str(tmp_path / "check"), "rules").awaitTermination(120)
     row = read_topic(spark, alerts).first()
     assert row.key == "RULE_DDOS_VOLUMETRIC-1" and json.loads(row.value)["trace_id"] == "C1" and row.t_us == 10_500_000
+
+
+def test_equal_lines_and_rows_get_numbers_of_their_own(spark, tmp_path):
+    line = json.dumps({"ts": 1.0, "uid": "C1", "id.orig_h": "10.0.0.1", "id.resp_h": "8.8.8.8"})
+    (tmp_path / "conn.log").write_text("\n".join([line] * 3 + [json.dumps({"ts": 2.0})]))
+    path = str(tmp_path / "conn.log")
+    runs = [sorted(r.seq for r in logs.parse_events(logs.read_logs(spark, path)).collect()) for _ in range(2)]
+    assert len(set(runs[0])) == 4 and runs[0] == runs[1]
+    streamed = logs.parse_events(spark.read.text(path).withColumn("file", F.input_file_name())).collect()
+    assert {r.seq for r in streamed} < set(runs[0]), "the first of equal lines has the number it has in a stream"
