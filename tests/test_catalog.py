@@ -5,7 +5,8 @@ import __spark_entry__ as entry_points
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 CHECKED = ["rules_conn", "beacon_periodic", "dns_burst_nxdomain", "incidents_by_source", "correlated_incidents",
-           "flow_assembly", "alert_validation", "composite_evaluation"]
+           "flow_assembly", "alert_validation", "composite_evaluation", "composite_detectors", "range_intel", "dga_gate", "flow_threshold",
+           "alert_table_merge", "topic_roundtrip"]
 
 
 def _normal(frame):
