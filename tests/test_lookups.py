@@ -1,6 +1,7 @@
 import ipaddress
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,13 @@ def test_gram_scores_equal_brute_force(spark):
     assert set(scored) == {q.strip() for q in asked if q} and 0 < scored["bücher.example"] < 1
 
 
+def test_grams_meet_their_weights_without_a_shuffle(spark):
+    weights = gram_model.fit_weights(spark.createDataFrame([("abc.com", 1.0), ("xyz.org", 0.0)], "domain string, label double"))
+    scored = gram_model.score_windows(spark.createDataFrame([("abcabc.com",), ("xyz.org",)], "query string"), weights)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text#" in plan and not re.search(r"hashpartitioning\([^)]*gram#", plan)
+
+
 def test_one_label_gives_no_weights(spark):
     weights = gram_model.fit_weights(spark.createDataFrame([("abc.com", 1.0)], "domain string, label double"))
     assert {r.weight for r in weights.where("gram <> ''").collect()} == {0}
