@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hawkgrid.functions.net import address_hex
@@ -101,6 +102,20 @@ def test_grams_meet_their_weights_without_a_shuffle(spark):
     assert "hashpartitioning(text#" in plan and not re.search(r"hashpartitioning\([^)]*gram#", plan)
 
 
+def test_equal_windows_are_classified_once(spark):
+    class Recorder:
+        def transform(self, rows):
+            self.rows = rows
+            return rows.withColumn("probability", array_to_vector(F.array(F.lit(0.75), F.length("text") / 100.0)))
+
+    model = Recorder()
+    asked = spark.createDataFrame([("aa1.shared.com",), ("bb22.shared.com",), (" bb22.shared.com",)], "query string")
+    scores = {r.query: r.score for r in models.score_domains(asked, model).collect()}
+    assert scores == {"aa1.shared.com": 0.14, "bb22.shared.com": 0.15}
+    texts = [r.text for r in model.rows.select("text").collect()]
+    assert sorted(texts) == ["aa1.shared.com", "bb22", "bb22.shared.com", "shared", "shared.com"]
+
+
 def test_one_label_gives_no_weights(spark):
     weights = gram_model.fit_weights(spark.createDataFrame([("abc.com", 1.0)], "domain string, label double"))
     assert {r.weight for r in weights.where("gram <> ''").collect()} == {0}
