@@ -264,8 +264,9 @@ def perplexities(blocks: DataFrame, models: list[Model]) -> DataFrame:
     keys = durable(blocks.select(F.explode("keys").alias("k")).distinct())
     scored = keys
     for name, model in zip(_MODELS, models, strict=True):
-        scored = scored.join(model.log_probabilities(keys).withColumnRenamed("logp", name), "k")
-    own = held.join(durable(scored), "k").groupBy("block").agg(F.collect_list(F.struct("k", *_MODELS)).alias("scores"))
+        # One model at a time: the driver never plans, compiles and broadcasts for all of them at once.
+        scored = durable(scored.join(model.log_probabilities(keys).withColumnRenamed("logp", name), "k"))
+    own = held.join(scored, "k").groupBy("block").agg(F.collect_list(F.struct("k", *_MODELS)).alias("scores"))
 
     def score(parts):
         for part in parts:

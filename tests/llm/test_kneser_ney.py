@@ -142,3 +142,13 @@ def test_nothing_trusted_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert sorted(r._row for r in kneser_ney.keep_good(docs, none).collect()) == [1, 4, 5, 6, 6, 7, 8]
     assert kneser_ney.classify(docs.where("false"), none).count() == 0
+
+
+def test_models_are_joined_one_at_a_time(spark, monkeypatch):
+    joins, kept = [], kneser_ney.durable
+    monkeypatch.setattr(kneser_ney, "durable", lambda df: joins.append(
+        df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or kept(df))
+    docs = spark.createDataFrame([(i, "en", f"some plain text {i}") for i in range(20)], "doc_id long, lang string, text string")
+    assert kneser_ney.classify(docs, docs.where("doc_id < 10").select("doc_id")).count() == 20
+    # Six joins give one model's scores and one adds them; the plan of all three had 21.
+    assert max(joins) <= 7
