@@ -14,6 +14,8 @@ its distinct keys. Everything else is a join of small tables:
 Thresholds are quantiles of held-out scores: trusted texts fall into halves by their hash, so that copies stay together, and
 each half is scored by a model of the other one.
 
+A task works through the texts of a block in chunks of about a million characters, as the arrays of a whole block are many times its size.
+
 Texts are never shuffled: buckets are read where they lie, and only keys and scores move to them. A key found in every
 block has one row per block, and the joins can be split.
 """
@@ -33,9 +35,10 @@ from hawkgrid.llm.common import key_of, shuffle_partitions, utf8
 from hawkgrid.session import durable, shared_folder
 
 BLOCK_BYTES = 8 << 20
+CHUNK_CHARS = 1 << 20
 BEGIN, END = 0x110000, 0x110001
 _BITS = 21
-_DENSE = 1 << 24
+_DENSE = 1 << 22
 QUANTILE, MARGIN, MIN_TRUSTED, PRIOR_CHARS = 0.99, 0.0, 50, 100
 _USUAL = 0.5, 0.75, 0.9
 _MODELS = ["logp", "held_0", "held_1"]
@@ -55,15 +58,29 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(starts, np.int64)
 
 
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Whole texts, about ``CHUNK_CHARS`` characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 class _Alphabet:
     """Small numbers for the symbols of a block, so that keys index an array."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, texts: list[str]):
         seen = np.zeros(END + 1, bool)
-        seen[codes] = True
+        for chunk in _chunks(texts):
+            seen[_symbols(chunk)[0]] = True
         self.symbols = np.flatnonzero(seen)
         self.size = len(self.symbols)
-        self.number = np.zeros(END + 1, np.int64)
+        self.number = np.zeros(END + 1, np.int32)  # wide enough for keys below _DENSE
         self.number[self.symbols] = np.arange(self.size)
         self.dense = self.size ** 3 <= _DENSE
 
@@ -82,17 +99,25 @@ class _Alphabet:
         return (s[keys // (a * a)] << 2 * _BITS) | (s[keys // a % a] << _BITS) | s[keys % a]
 
 
-def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct real keys and their counts; keys that end in BEGIN lie between documents."""
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    alphabet = _Alphabet(codes)
-    keys = alphabet.keys(codes)[codes[2:] != BEGIN]
+    alphabet = _Alphabet(texts)
+    found = np.zeros(alphabet.size ** 3 if alphabet.dense else 0, np.int64)
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for chunk in _chunks(texts):
+        codes, _ = _symbols(chunk)
+        some = alphabet.keys(codes)[codes[2:] != BEGIN]
+        if alphabet.dense:
+            part = np.bincount(some)
+            found[:len(part)] += part
+        else:
+            some, part = np.unique(some, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, part])).astype(np.int64)
     if alphabet.dense:
-        found = np.bincount(keys, minlength=1)
         keys = np.flatnonzero(found)
         return alphabet.real(keys), found[keys]
-    return np.unique(keys, return_counts=True)
+    return keys, n
 
 
 def _unpack(payload: bytes, sizes: list[int]) -> list[str]:
@@ -105,14 +130,14 @@ def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, texts, total = [], [], 0
 
     def block():
-        keys, _ = _counts(_symbols([t.decode() for t in texts])[0])
+        keys, _ = _counts([t.decode() for t in texts])
         payload = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([docs], _DOCS), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
              pa.array([payload], pa.binary()), pa.array([keys], pa.list_(pa.int64()))],
             names=["block", "docs", "sizes", "payload", "keys"])
 
-    for part in parts:
+    for part in (p.slice(low, 500) for p in parts for low in range(0, p.num_rows, 500)):
         for doc_id, lang, text_hash, text in zip(*(part.column(k).to_pylist() for k in range(3)), utf8(part.column(3)), strict=True):
             docs.append({"doc_id": doc_id, "lang": lang, "text_hash": text_hash, "row": len(docs), "empty": not text})
             texts.append(text or b"")
@@ -156,10 +181,11 @@ def trusted_counts(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def count(parts):
         for part in parts:
-            for sizes, payload, halves in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in range(part.num_rows):
+                sizes, payload, halves = (part.column(k)[row].as_py() for k in range(3))
                 texts = _unpack(payload, sizes)
                 for h in halves:
-                    keys, n = _counts(_symbols([texts[r] for r in h["rows"]])[0])
+                    keys, n = _counts([texts[r] for r in h["rows"]])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(keys), h["half"]), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())],
                         names=["half", "k", "n"])
@@ -233,23 +259,27 @@ class Model:
 
 def _score_block(texts: list[str], keys: np.ndarray, logps: list[np.ndarray]) -> list[np.ndarray]:
     """Mean log probability of each text's characters and its end, under each model."""
-    codes, starts = _symbols(texts)
-    alphabet = _Alphabet(codes)
+    alphabet = _Alphabet(texts)
     if alphabet.dense:
         small = alphabet.number
         mask = (1 << _BITS) - 1
         at = (small[keys >> 2 * _BITS] * alphabet.size + small[keys >> _BITS & mask]) * alphabet.size + small[keys & mask]
-        found, table = alphabet.keys(codes), np.zeros(alphabet.size ** 3)
+        place = np.zeros(alphabet.size ** 3, np.int32)
+        place[at] = np.arange(len(keys))
     else:
         order = np.argsort(keys)
-        found = order[np.minimum(np.searchsorted(keys[order], alphabet.keys(codes)), len(keys) - 1)]
-    size, means = np.array([len(t) + 1 for t in texts]), []
-    for logp in logps:
-        if alphabet.dense:
-            table[at] = logp
-        scores = np.where(codes[2:] == BEGIN, 0.0, (table if alphabet.dense else logp)[found])
-        means.append(np.add.reduceat(scores, starts) / size)
-    return means
+        ordered = keys[order]
+    means = [[] for _ in logps]
+    for chunk in _chunks(texts):
+        codes, starts = _symbols(chunk)
+        found = alphabet.keys(codes)
+        found = place[found] if alphabet.dense else order[np.minimum(np.searchsorted(ordered, found), len(keys) - 1)]
+        between, size = codes[2:] == BEGIN, np.array([len(t) + 1 for t in chunk])
+        for mean, logp in zip(means, logps, strict=True):
+            scores = logp[found]
+            scores[between] = 0.0
+            mean.append(np.add.reduceat(scores, starts) / size)
+    return [np.concatenate(mean) for mean in means]
 
 
 _SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double, held_0 double, held_1 double"

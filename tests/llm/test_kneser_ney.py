@@ -1,6 +1,10 @@
 import math
+import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +156,39 @@ def test_models_are_joined_one_at_a_time(spark, monkeypatch):
     assert kneser_ney.classify(docs, docs.where("doc_id < 10").select("doc_id")).count() == 20
     # Six joins give one model's scores and one adds them; the plan of all three had 21.
     assert max(joins) <= 7
+
+
+def keys_of(text):
+    codes = [kneser_ney.BEGIN] * 2 + [ord(c) for c in text] + [kneser_ney.END]
+    return [a << 42 | b << 21 | c for a, b, c in zip(codes, codes[1:], codes[2:])]
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("letters", [60, 400])
+def test_a_block_is_worked_through_in_chunks(letters):
+    some = random.Random(3)
+    symbols = [chr(97 + k) for k in range(letters)]
+    texts, size = [""], 0
+    while size < kneser_ney.BLOCK_BYTES:
+        texts.append("".join(some.choices(symbols[:30], k=3000)) + some.choice(symbols))
+        size += len(texts[-1].encode())
+    columns = [pa.array(range(len(texts))), pa.array(["en"] * len(texts)), pa.array(range(len(texts))), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "text_hash", "text"])
+    blocks, packed = peak_mb(lambda: list(kneser_ney._pack(iter([batch]))))
+    keys = blocks[0].column(4)[0].values.to_numpy()
+    assert len(blocks) == 1 and keys.tolist() == sorted({k for t in texts for k in keys_of(t)})
+    logps = [-np.random.default_rng(k).random(len(keys)) for k in range(3)]
+    means, scored = peak_mb(lambda: kneser_ney._score_block(texts, keys, logps))
+    for mean, logp in zip(means, logps, strict=True):
+        known = dict(zip(keys.tolist(), logp.tolist(), strict=True))
+        for t in range(0, len(texts), 97):
+            assert mean[t] == pytest.approx(sum(known[k] for k in keys_of(texts[t])) / (len(texts[t]) + 1), rel=1e-9)
+    # The arrays of the whole block at once took more than 200 and 300 MB in each worker.
+    assert packed < 120 and scored < 120, (packed, scored)
