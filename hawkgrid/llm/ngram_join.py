@@ -3,7 +3,7 @@
 The incidence matrix has a row per distinct set of n-grams and a column per n-gram; its product with itself holds all
 overlaps. Only entries that can reach the threshold are computed:
 
-1. *Columns.* One pass counts n-grams in ``2^20`` counters of all documents. By these counts, rare first, every row is
+1. *Columns.* One pass counts n-grams in ``2^24`` counters of all documents. By these counts, rare first, every row is
    put in one common order. With a similarity of at least t, two rows share one of the first ``n - ceil(t n) + 1`` of
    each, so only those entries of the matrix are kept. N-grams that many documents share come last and
    rarely among them. The counters only choose the order: any order gives the same links.
@@ -11,8 +11,11 @@ overlaps. Only entries that can reach the threshold are computed:
    one to its overlap; sums over all blocks discard pairs below the bound that their sizes give. What is left is
    compared in full.
 3. *Wide columns* (large groups of near copies) would give all pairs of a group. Their rows are put into blocks of rows
-   instead, and pairs of row blocks with a wide column in common are multiplied, column chunk by column chunk.
-   A block pair returns links that span its connected parts, not all pairs.
+   instead, in two orders, and each block is multiplied with itself, column chunk by column chunk. A product returns
+   links that span its connected parts, not all pairs. Groups of near copies are mostly one component then.
+4. *Mixed columns* are the wide ones that still hold several components. Their rows are put into blocks again, those of
+   large components apart and the others by size, and pairs of blocks with a mixed column in common are multiplied, but
+   not two of one component, nor two whose sizes are too different.
 
 Equal sets are one row from the start, so exact copies never meet each other. Nothing is capped or sampled.
 """
@@ -32,8 +35,11 @@ from hawkgrid.llm.common import batches, components, shuffle_partitions, utf8
 from hawkgrid.session import durable
 
 N_WORDS, THRESHOLD = 5, 0.75
-COUNTER_BITS, SEGMENTS = 20, 64
-WIDE, ROW_BLOCK, ENTRIES, COLUMN_CHUNK = 24, 2000, 1_000_000, 2048
+# With few counters for the n-grams there are, shared ones vanish among the chance sums of others and come early.
+COUNTER_BITS, SEGMENTS, COUNTED = 24, 64, 1 << 15
+WIDE, ROW_BLOCK, ENTRIES, COLUMN_CHUNK = 24, 1000, 1_000_000, 2048
+# Of hashes in a row block. Spark holds a few pairs of blocks at a time.
+BLOCK_BYTES = 4 << 20
 # Odd multipliers of a mixing step, one per word of an n-gram.
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SHIFT = np.uint64(29)
@@ -77,18 +83,26 @@ _SIZES_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("row", pa.
 
 def _measure(n_words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        counts = np.zeros(1 << COUNTER_BITS, np.uint16)
+
+        def counters():
+            for k, some in enumerate(np.split(counts, SEGMENTS)):
+                yield None, None, None, k, pa.compress(some.astype("<u2").tobytes(), codec="zstd", asbytes=True)
+            counts.fill(0)
 
         def rows():
+            texts = 0
             for part in parts:
                 for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                     hashes = shingles(text or b"", n_words)
                     at = (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
                     np.add.at(counts, at, 1)
                     yield doc_id, len(hashes), row_id(hashes), None, None
+                    texts += 1
+                    if texts % COUNTED == 0:  # before a counter can overflow
+                        yield from counters()
             if counts.any():
-                for k, some in enumerate(np.split(counts, SEGMENTS)):
-                    yield None, None, None, k, some.astype("<u4").tobytes()
+                yield from counters()
 
         yield from batches(_SIZES_ARROW, rows())
 
@@ -96,20 +110,26 @@ def _measure(n_words: int):
 
 
 def _counters(measured: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up: 4 MB, whatever the input."""
+    """The counters of all tasks added up, 65,535 at most: 32 MB, whatever the input."""
+    size = (1 << COUNTER_BITS) // SEGMENTS
+
     def add(parts):
         sums: dict[int, np.ndarray] = {}
         for part in parts:
             for k, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(raw, "<u4").astype(np.uint64)
-                sums[k] = sums[k] + found if k in sums else found
+                found = np.frombuffer(pa.decompress(raw, 2 * size, codec="zstd", asbytes=True), "<u2")
+                if k in sums:
+                    sums[k] += found
+                else:
+                    sums[k] = found.astype(np.uint64)
         for k, found in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["k", "sums"])
+            least = np.minimum(found, 0xFFFF).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([least.tobytes()], pa.binary())], names=["k", "sums"])
 
     held = measured.where("segment is not null").select("segment", "counts")
-    out = np.zeros((SEGMENTS, (1 << COUNTER_BITS) // SEGMENTS), np.uint64)
+    out = np.zeros((SEGMENTS, size), np.uint16)
     for row in held.repartitionById(SEGMENTS, "segment").mapInArrow(add, "k int, sums binary").collect():
-        out[row["k"]] = np.frombuffer(row["sums"], np.uint64)
+        out[row["k"]] = np.frombuffer(row["sums"], "<u2")
     return out.reshape(-1)
 
 
@@ -165,39 +185,42 @@ def _entries(n_words: int, threshold: float, shared, n_blocks: int):
 _MET = pa.schema([("wide", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
 
 
-def _multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task's column blocks: pairs with their overlaps, and the rows of wide columns."""
-    columns, rows = [], []
-    for part in parts:
-        columns += [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
-        rows += [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-    if not columns:
-        return
-    column, row = np.concatenate(columns), np.concatenate(rows)
-    del columns, rows
-    order = np.lexsort((row, column))
-    column, row = column[order], row[order]
-    new = np.r_[True, (column[1:] != column[:-1]) | (row[1:] != row[:-1])]  # copies from other tasks
-    column, row = column[new], row[new]
-    starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
-    sizes = np.diff(np.r_[starts, len(column)])
-    left, right = [], []
-    for m in range(2, WIDE + 1):
-        group = row[starts[sizes == m][:, None] + np.arange(m)]
-        a, b = np.triu_indices(m, 1)
-        left.append(group[:, a].ravel())
-        right.append(group[:, b].ravel())
-    pairs, overlap = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0, return_counts=True)
-    for low in range(0, len(pairs), 50_000):
-        some = pairs[low:low + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(overlap[low:low + 50_000])], schema=_MET)
-    wide = np.repeat(sizes > WIDE, sizes)
-    at, who = column[wide].view(np.int64), row[wide]
-    for low in range(0, len(at), 50_000):
-        some = pa.array(at[low:low + 50_000])
-        yield pa.RecordBatch.from_arrays(
-            [some, pa.array(who[low:low + 50_000]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=_MET)
+def _multiply(widest: int):
+    """Of one task's column blocks: pairs with their overlaps, and the rows of columns with more than ``widest``."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, rows = [], []
+        for part in parts:
+            columns += [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+            rows += [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+        if not columns:
+            return
+        column, row = np.concatenate(columns), np.concatenate(rows)
+        del columns, rows
+        order = np.lexsort((row, column))
+        column, row = column[order], row[order]
+        new = np.r_[True, (column[1:] != column[:-1]) | (row[1:] != row[:-1])]  # copies from other tasks
+        column, row = column[new], row[new]
+        starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        sizes = np.diff(np.r_[starts, len(column)])
+        left, right = [], []
+        for m in range(2, widest + 1):
+            group = row[starts[sizes == m][:, None] + np.arange(m)]
+            a, b = np.triu_indices(m, 1)
+            left.append(group[:, a].ravel())
+            right.append(group[:, b].ravel())
+        pairs, overlap = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0, return_counts=True)
+        for low in range(0, len(pairs), 50_000):
+            some = pairs[low:low + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(overlap[low:low + 50_000])], schema=_MET)
+        wide = np.repeat(sizes > widest, sizes)
+        at, who = column[wide].view(np.int64), row[wide]
+        for low in range(0, len(at), 50_000):
+            some = pa.array(at[low:low + 50_000])
+            yield pa.RecordBatch.from_arrays(
+                [some, pa.array(who[low:low + 50_000]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=_MET)
+
+    return run
 
 
 # Full comparisons --------------------------------------------------------------------------------------------------
@@ -244,9 +267,13 @@ def _unpack_rows(raw: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def block_product(one: tuple, two: tuple, threshold: float) -> np.ndarray:
-    """Boolean matrix of the links between two row blocks (ids, sizes, hashes row after row)."""
+    """Boolean matrix of the links between two row blocks (ids, sizes, hashes row after row), or of one with itself."""
     (_, n, x), (_, m, y) = one, two
-    shared = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+    if one is two:
+        shared, held = np.unique(x, return_counts=True)
+        shared = shared[held > 1]
+    else:
+        shared = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
     overlap = np.zeros((len(n), len(m)), np.float32)
 
     def chunked(sizes, hashes):
@@ -269,64 +296,100 @@ def block_product(one: tuple, two: tuple, threshold: float) -> np.ndarray:
             sides.append((own, dense))
         (r, p), (c, q) = sides
         overlap[np.ix_(r, c)] += p @ q.T
-    return similar(overlap.astype(np.int64), n[:, None], m[None, :], threshold)
+    link = np.empty(overlap.shape, bool)
+    for low in range(0, len(n), 256):  # whole numbers take twice the room
+        some = slice(low, low + 256)
+        link[some] = similar(overlap[some].astype(np.int64), n[some, None], m[None, :], threshold)
+    if one is two:
+        np.fill_diagonal(link, True)
+    return link
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_BLOCK = "place long, share double, ids binary, sizes binary, hashes binary, columns array<long>"
-_BLOCK_BYTES = 32 << 20
+_BLOCK = "place long, big long, share double, ids binary, sizes binary, hashes binary, columns array<long>"
 
 
-def _row_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as they come, in blocks: row, set, columns. ``place`` orders the blocks, ``share`` is the part of a full one."""
-    held: list[tuple] = []
-    place, size = TaskContext.get().partitionId() << 32, 0
-
-    def block():
-        sets = [np.frombuffer(s, np.uint64) for _, s, _ in held]
-        wide = sorted({c for _, _, columns in held for c in columns})
-        return pa.RecordBatch.from_arrays(
-            [pa.array([place], pa.int64()), pa.array([max(len(held) / ROW_BLOCK, size / _BLOCK_BYTES)]),
-             pa.array([np.array([r for r, _, _ in held], np.int64).tobytes()], pa.binary()),
-             pa.array([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()),
-             pa.array([np.concatenate(sets).tobytes()], pa.binary()), pa.array([wide], pa.list_(pa.int64()))],
-            names=["place", "share", "ids", "sizes", "hashes", "columns"])
+def _edges(one: tuple, two: tuple, threshold: float) -> Iterator[pa.RecordBatch]:
+    link = block_product(one, two, threshold)
+    yield from batches(_EDGES, iter([(a, b) for a, b in _spanning(link, one[0], two[0]) if a != b]))
 
+
+def _cut(parts: Iterator[pa.RecordBatch], most_rows: int, most_bytes: int, key: int | None = None) -> Iterator[list[tuple]]:
+    """Rows (row, set, ...) as they come, in lists of at most so many rows and about so many bytes, with one value at ``key``."""
+    held: list[tuple] = []
+    size = 0
     for part in parts:
-        for row in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+        for row in zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True):
+            if held and (len(held) >= most_rows or size >= most_bytes or key is not None and row[key] != held[-1][key]):
+                yield held
+                held, size = [], 0
             held.append(row)
             size += len(row[1])
-            if len(held) >= ROW_BLOCK or size >= _BLOCK_BYTES:
-                yield block()
-                held, size, place = [], 0, place + 1
     if held:
-        yield block()
+        yield held
+
+
+def _packed(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sets = [np.frombuffer(row[1], np.uint64) for row in held]
+    return np.array([row[0] for row in held], np.int64), np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
+
+
+def _within(threshold: float, most_rows: int, most_bytes: int):
+    """Links within blocks of rows that come one after another."""
+    def run(parts):
+        for held in _cut(parts, most_rows, most_bytes):
+            block = _packed(held)
+            yield from _edges(block, block, threshold)
+
+    return run
+
+
+def _row_blocks(most_rows: int, most_bytes: int):
+    """Rows (row, set, columns, big) in blocks of one ``big``. ``place`` orders the blocks, ``share`` is the part of a full one."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for held in _cut(parts, most_rows, most_bytes, 3):
+            ids, sizes, hashes = _packed(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place], pa.int64()), pa.array([held[0][3]], pa.int64()),
+                 pa.array([max(len(held) / most_rows, hashes.nbytes / most_bytes)], pa.float64()),
+                 *(pa.array([x.tobytes()], pa.binary()) for x in (ids, sizes, hashes)),
+                 pa.array([sorted({c for row in held for c in row[2]})], pa.list_(pa.int64()))],
+                names=["place", "big", "share", "ids", "sizes", "hashes", "columns"])
+            place += 1
+
+    return run
 
 
 def _filled(blocks: DataFrame) -> DataFrame:
-    """Neighbouring blocks that are not full, put together: (block, ids, sizes, hashes, columns).
+    """Neighbouring blocks that are not full, put together: (block, big, low, high, ids, sizes, hashes, columns).
+
+    ``low`` and ``high`` are the smallest and the largest size of a row.
 
-    Otherwise there would be a block, and its products with all others, for every partition.
+    Otherwise there would be a block, and its products with others, for every partition.
     """
     # One short row per block.
-    before = F.sum("share").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    group = blocks.select("place", F.floor(F.coalesce(before, F.lit(0.0))).cast("long").alias("block"))
+    before = F.sum("share").over(Window.partitionBy("big").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    group = blocks.select("place", "big", F.floor(F.coalesce(before, F.lit(0.0))).alias("k")).select(
+        "place", F.min("place").over(Window.partitionBy("big", "k")).alias("block"))
 
     def merge(parts):
         held: dict[int, list] = {}
         for part in parts:
-            for block, *rest in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+            for block, *rest in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
                 held.setdefault(block, []).append(rest)
         for block, found in held.items():
             found.sort(key=lambda x: x[0])
+            sizes = np.concatenate([np.frombuffer(x[3], np.int64) for x in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *(pa.array([b"".join(x[k] for x in found)], pa.binary()) for k in (1, 2, 3)),
-                 pa.array([sorted({c for x in found for c in x[4]})], pa.list_(pa.int64()))],
-                names=["block", "ids", "sizes", "hashes", "columns"])
+                [pa.array([block], pa.int64()), pa.array([found[0][1]], pa.int64()), pa.array([sizes.min()]), pa.array([sizes.max()]),
+                 *(pa.array([b"".join(x[k] for x in found)], pa.binary()) for k in (2, 3, 4)),
+                 pa.array([sorted({c for x in found for c in x[5]})], pa.list_(pa.int64()))],
+                names=["block", "big", "low", "high", "ids", "sizes", "hashes", "columns"])
 
     n = shuffle_partitions(blocks.sparkSession)
-    return blocks.join(group, "place").select("block", "place", "ids", "sizes", "hashes", "columns").repartitionById(
-        n, F.pmod("block", F.lit(n)).cast("int")).mapInArrow(merge, "block long, ids binary, sizes binary, hashes binary, columns array<long>")
+    return blocks.join(group, "place").select("block", "place", "big", "ids", "sizes", "hashes", "columns").repartition(
+        n, "block").mapInArrow(merge, "block long, big long, low long, high long, ids binary, sizes binary, hashes binary, columns array<long>")
 
 
 def _product(threshold: float):
@@ -334,27 +397,61 @@ def _product(threshold: float):
         for part in parts:
             for k in range(part.num_rows):
                 values = [part.column(c)[k].as_py() for c in range(6)]
-                one, two = _unpack_rows(values[:3]), _unpack_rows(values[3:])
-                link = block_product(one, two, threshold)
-                yield from batches(_EDGES, iter(_spanning(link, one[0], two[0])))
+                one = _unpack_rows(values[:3])
+                two = one if values[0] == values[3] else _unpack_rows(values[3:])
+                yield from _edges(one, two, threshold)
 
     return run
 
 
-def _wide_links(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links among rows that share a wide column, by products of row blocks."""
+def _meeting(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (block, other) of blocks with a column in common, but not those of one large component or of too different sizes."""
+    hundredths = round(threshold * 100)
+    columns = blocks.select("block", "big", "low", "high", F.explode("columns").alias("c"))
+    others = columns.select(F.col("block").alias("other"), F.col("big").alias("big2"), F.col("low").alias("low2"), F.col("high").alias("high2"), "c")
+    return columns.join(others, "c").where(
+        f"block <= other and not coalesce(big = big2, false) and 100 * high >= {hundredths} * low2 and 100 * high2 >= {hundredths} * low"
+    ).select("block", "other").distinct()
+
+
+def _components(known: DataFrame, wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, component) of the ``known`` links and those among rows that share a wide column."""
     spark = wide.sparkSession
-    own = wide.groupBy(F.col("a").alias("row")).agg(F.collect_set("wide").alias("columns"))
-    rows = sets.join(own, "row").select("row", "set", "columns", F.array_min("columns").alias("_at"))
+    if wide.isEmpty():
+        return components(known, "a", "b")
+    held = wide.select(F.col("a").alias("row"), "wide")
+    rows = durable(sets.join(held.groupBy("row").agg(F.min("wide").alias("least"), F.max("wide").alias("most")), "row"))
+
+    def n_blocks(of: DataFrame) -> int:
+        found = of.agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("size")).first()
+        return max(1, -(-found["n"] // ROW_BLOCK), -(-(found["size"] or 0) // BLOCK_BYTES))
+
+    n, near = n_blocks(rows), known
+    # Rows of a group are neighbours in both orders, but not the same ones.
+    for at, order in ((F.col("least"), F.col("row")), (F.col("most"), F.xxhash64("row"))):
+        near = near.unionByName(rows.repartitionByRange(n, at, order).sortWithinPartitions(at, order).select("row", "set").mapInArrow(
+            _within(threshold, ROW_BLOCK, BLOCK_BYTES), "a long, b long"))
+    parts = durable(components(near, "a", "b"))
+    held = held.join(parts, F.col("row") == F.col("node"), "left").select("row", "wide", F.coalesce("component", "row").alias("part"))
+    mixed = held.groupBy("wide").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("wide")
+    own = durable(held.join(mixed, "wide").groupBy("row").agg(F.collect_set("wide").alias("columns"), F.first("part").alias("part")))
+    if own.isEmpty():
+        return parts
+    # Few: each has as many rows as a block.
+    big = own.groupBy("part").count().where(F.col("count") >= ROW_BLOCK).select("part", F.col("part").alias("big"))
+    rest = durable(rows.select("row", "set").join(own.join(F.broadcast(big), "part", "left"), "row").select(
+        "row", "set", "columns", "big", F.floor(F.log(1 / threshold, F.length("set"))).alias("_size"), F.array_min("columns").alias("_at")))
     blocks = durable(_filled(durable(
-        rows.repartitionByRange(shuffle_partitions(spark), "_at", "row").sortWithinPartitions("_at", "row")
-        .select("row", "set", "columns").mapInArrow(_row_blocks, _BLOCK))))
-    by_column = blocks.select("block", F.explode("columns").alias("c"))
-    meet = by_column.join(by_column.select(F.col("block").alias("other"), "c"), "c").where("block <= other").select("block", "other").distinct()
+        rest.repartitionByRange(n_blocks(rest), "big", "_size", "_at", "row").sortWithinPartitions("big", "_size", "_at", "row")
+        .select("row", "set", "columns", "big").mapInArrow(_row_blocks(ROW_BLOCK, BLOCK_BYTES), _BLOCK))))
     other = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "hashes")])
-    pairs = meet.join(blocks.select("block", "ids", "sizes", "hashes"), "block").join(other, "other")
-    return pairs.select("ids", "sizes", "hashes", "ids2", "sizes2", "hashes2").repartition(
+    pairs = _meeting(blocks, threshold).join(blocks.select("block", "ids", "sizes", "hashes"), "block").join(other, "other")
+    links = pairs.select("ids", "sizes", "hashes", "ids2", "sizes2", "hashes2").repartition(
         shuffle_partitions(spark)).mapInArrow(_product(threshold), "a long, b long")
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
+
+
+_SETS = pa.schema([("row", pa.int64()), ("set", pa.binary())])
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
@@ -362,14 +459,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("row", "text")
 
     def run(parts):
-        for part in parts:
-            rows, sets = [], []
-            for row, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                hashes = shingles(text or b"", n_words)
-                if row_id(hashes) == row:  # repeated ids may have other texts
-                    rows.append(row)
-                    sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["row", "set"])
+        def rows():
+            for part in parts:
+                for row, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                    hashes = shingles(text or b"", n_words)
+                    if row_id(hashes) == row:  # repeated ids may have other texts
+                        yield row, hashes.tobytes()
+
+        yield from batches(_SETS, rows(), 1000)
 
     return texts.mapInArrow(run, "row long, set binary").dropDuplicates(["row"])
 
@@ -395,7 +492,7 @@ def jaccard_components(docs: DataFrame, n_words: int = N_WORDS, threshold: float
     numbered = texts.where("doc_id is not null").select("text")
     met = durable(
         numbered.mapInArrow(_entries(n_words, threshold, shared, n_blocks), "block int, columns binary, rows binary")
-        .repartitionById(n_blocks, "block").mapInArrow(_multiply, "wide long, a long, b long, overlap long"))
+        .repartitionById(n_blocks, "block").mapInArrow(_multiply(WIDE), "wide long, a long, b long, overlap long"))
     hundredths = round(threshold * 100)
     n, m = F.col("n"), F.col("m")
     least = F.ceil(hundredths * (n + m) / (100 + hundredths))
@@ -412,12 +509,11 @@ def jaccard_components(docs: DataFrame, n_words: int = N_WORDS, threshold: float
         pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         .mapInArrow(_compare(threshold), "a long, b long"))
-    links = narrow.unionByName(_wide_links(wide, sets, threshold))
     # Several texts under one number are one document.
     numbers = sizes.where("row is not null and doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b"))
-    links = links.unionByName(numbers.where("a <> b").select("a", "b")).unionByName(
+    links = narrow.unionByName(numbers.where("a <> b").select("a", "b")).unionByName(
         sizes.where("row is not null and doc_id is not null").join(numbers.where("a <> b"), "doc_id").select("a", F.col("row").alias("b")))
-    parts = components(links, "a", "b")
+    parts = _components(links, wide, sets, threshold)
     joined = rows.join(parts, rows["row"] == parts["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("part"))
     least_id = joined.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_row = joined.join(least_id, "part").select("row", "component_id")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hawkgrid.llm import ngram_join
@@ -66,6 +67,69 @@ def test_components_match_brute_force(spark, monkeypatch, wide, chunk, block):
     assert got == sorted(brute(rows))
 
 
+def test_groups_are_not_multiplied_block_by_block(spark, monkeypatch):
+    """A group of near copies in many row blocks is one component after the first products: its blocks do not meet again."""
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    monkeypatch.setattr(ngram_join, "ROW_BLOCK", 20)
+    rng = random.Random(5)
+    base = [f"g{k}" for k in range(120)]
+    texts = [" ".join(f"x{k}" if j == rng.randrange(120) else w for j, w in enumerate(base)) for k in range(400)]
+    # These share the first 50 words with the group, and each other's, but are no copies of it.
+    texts += [" ".join(base[:50] + [f"y{k}_{j}" for j in range(k)]) for k in range(1, 21)]
+    rows = list(enumerate(texts))
+    met = []
+
+    def meeting(blocks, threshold):
+        pairs = ngram_join_meeting(blocks, threshold)
+        met.append((blocks.count(), blocks.where("big is not null").count(), pairs.count()))
+        return pairs
+
+    ngram_join_meeting = ngram_join._meeting
+    monkeypatch.setattr(ngram_join, "_meeting", meeting)
+    got = sorted(map(tuple, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute(rows))
+    for n, n_big, pairs in met:
+        assert n_big >= 10
+        assert pairs <= n * (n - n_big)
+
+
+def test_row_blocks_are_small(spark):
+    """Pairs of blocks go through Spark as rows, so the bytes of a block are bounded, not only its rows."""
+    assert ngram_join.BLOCK_BYTES <= 4 << 20
+    parts = [pa.RecordBatch.from_arrays(
+        [pa.array(range(40), pa.int64()), pa.array([np.arange(40_000, dtype=np.uint64).tobytes()] * 40, pa.binary())], names=["row", "set"])]
+    held = list(ngram_join._cut(iter(parts), 1000, ngram_join.BLOCK_BYTES))
+    assert [r[0] for some in held for r in some] == list(range(40))
+    assert all(sum(len(r[1]) for r in some) < ngram_join.BLOCK_BYTES + 320_001 for some in held)
+
+
+def test_shared_ngrams_come_last_among_many():
+    """Among a billion n-grams, one that 30 texts share comes after the first part of a text."""
+    rng = np.random.default_rng(7)
+    counts = rng.poisson(1e9 / (1 << ngram_join.COUNTER_BITS), 1 << ngram_join.COUNTER_BITS)
+    early = 0
+    for _ in range(200):
+        hashes = np.unique(rng.integers(0, 2**64, 400, np.uint64))
+        common = rng.choice(hashes)
+        at = int(common >> np.uint64(64 - ngram_join.COUNTER_BITS))
+        counts[at] += 30
+        early += common in ngram_join.first_columns(hashes, counts, 0.75)
+        counts[at] -= 30
+    assert early <= 2
+
+
+def test_counters(spark, monkeypatch):
+    """Counters of several tasks and of several rounds of a task add up."""
+    monkeypatch.setattr(ngram_join, "COUNTED", 7)
+    texts = [f"a b c d e f{k} g h i j" for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = ngram_join._counters(docs.mapInArrow(ngram_join._measure(5), ngram_join._SIZES))
+    expected = np.zeros(1 << ngram_join.COUNTER_BITS, np.int64)
+    for text in texts:
+        np.add.at(expected, (ngram_join.shingles(text.encode()) >> np.uint64(64 - ngram_join.COUNTER_BITS)).astype(np.int64), 1)
+    assert (counts == expected).all()
+
+
 def test_nulls_ties_and_clashing_names(spark):
     long = " ".join(f"t{k % 977}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one\ttwo"), (6, "one two three"), (7, long), (8, long + " end"),
@@ -82,6 +146,14 @@ def test_sample_table(spark, sf):
     assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == sorted(brute(rows))
 
 
+def test_block_product_with_itself():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(300)]
+    one = (np.arange(300), np.array([len(s) for s in sets]), np.concatenate(sets))
+    link = ngram_join.block_product(one, one, 0.75)
+    assert link.tolist() == [[4 * len(set(x) & set(y)) >= 3 * len(set(x) | set(y)) for y in sets] for x in sets]
+
+
 def test_block_product():
     rng = np.random.default_rng(3)
 
