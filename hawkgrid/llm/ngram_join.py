@@ -37,7 +37,7 @@ from hawkgrid.session import durable
 N_WORDS, THRESHOLD = 5, 0.75
 # With few counters for the n-grams there are, shared ones vanish among the chance sums of others and come early.
 COUNTER_BITS, SEGMENTS, COUNTED = 24, 64, 1 << 15
-WIDE, ROW_BLOCK, ENTRIES, COLUMN_CHUNK = 24, 1000, 1_000_000, 2048
+WIDE, ROW_BLOCK, ENTRIES, COLUMN_CHUNK = 24, 1000, 500_000, 2048
 # Of hashes in a row block. Spark holds a few pairs of blocks at a time.
 BLOCK_BYTES = 4 << 20
 # Odd multipliers of a mixing step, one per word of an n-gram.
@@ -75,6 +75,13 @@ def needed(n: int, threshold: float) -> int:
     return -(-n * round(threshold * 100) // 100)
 
 
+def _slices(parts: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that only the texts of a piece are copied at once."""
+    for part in parts:
+        for low in range(0, part.num_rows, size):
+            yield part.slice(low, size)
+
+
 # Sizes and counters ------------------------------------------------------------------------------------------------
 
 _SIZES = "doc_id long, n long, row long, segment int, counts binary"
@@ -92,7 +99,7 @@ def _measure(n_words: int):
 
         def rows():
             texts = 0
-            for part in parts:
+            for part in _slices(parts):
                 for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                     hashes = shingles(text or b"", n_words)
                     at = (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
@@ -161,7 +168,7 @@ def _entries(n_words: int, threshold: float, shared, n_blocks: int):
                 [pa.array(which), pa.array([x.tobytes() for x in np.split(columns, cuts)], pa.binary()),
                  pa.array([x.tobytes() for x in np.split(ids, cuts)], pa.binary())], names=["block", "columns", "rows"])
 
-        for part in parts:
+        for part in _slices(parts):
             for text in utf8(part.column(0)):
                 hashes = shingles(text or b"", n_words)
                 row = row_id(hashes)
@@ -420,7 +427,7 @@ def _components(known: DataFrame, wide: DataFrame, sets: DataFrame, threshold: f
     if wide.isEmpty():
         return components(known, "a", "b")
     held = wide.select(F.col("a").alias("row"), "wide")
-    rows = durable(sets.join(held.groupBy("row").agg(F.min("wide").alias("least"), F.max("wide").alias("most")), "row"))
+    rows = durable(sets.where("wide").select("row", "set").join(held.groupBy("row").agg(F.min("wide").alias("least"), F.max("wide").alias("most")), "row"))
 
     def n_blocks(of: DataFrame) -> int:
         found = of.agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("size")).first()
@@ -451,24 +458,24 @@ def _components(known: DataFrame, wide: DataFrame, sets: DataFrame, threshold: f
     return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
 
-_SETS = pa.schema([("row", pa.int64()), ("set", pa.binary())])
+_SETS = pa.schema([("row", pa.int64()), ("wide", pa.bool_()), ("set", pa.binary())])
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(row, set) of the wanted rows, from the text of one document of each (row, doc_id)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("row", "text")
+    """(row, wide, set) of the wanted rows, from the text of one document of each (row, wide, doc_id)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("row", "wide", "text")
 
     def run(parts):
         def rows():
-            for part in parts:
-                for row, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+            for part in _slices(parts):
+                for row, wide, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
                     hashes = shingles(text or b"", n_words)
                     if row_id(hashes) == row:  # repeated ids may have other texts
-                        yield row, hashes.tobytes()
+                        yield row, wide, hashes.tobytes()
 
         yield from batches(_SETS, rows(), 1000)
 
-    return texts.mapInArrow(run, "row long, set binary").dropDuplicates(["row"])
+    return texts.mapInArrow(run, "row long, wide boolean, set binary").dropDuplicates(["row"])
 
 
 def jaccard_components(docs: DataFrame, n_words: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -503,7 +510,9 @@ def jaccard_components(docs: DataFrame, n_words: int = N_WORDS, threshold: float
         .join(rows.select(F.col("row").alias("a"), "n"), "a").join(rows.select(F.col("row").alias("b"), F.col("n").alias("m")), "b")
         .where((100 * F.least(n, m) >= hundredths * F.greatest(n, m)) & (F.col("overlap") + rest >= least)).select("a", "b"))
     wide = met.where("wide is not null").select("wide", "a")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(wide.select(F.col("a").alias("row"))).distinct()
+    # The sets of wide rows are few among all: marked, so that only they move again.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"), F.lit(False).alias("wide")).unionByName(
+        wide.select(F.col("a").alias("row"), F.lit(True).alias("wide"))).groupBy("row").agg(F.max("wide").alias("wide"))
     sets = durable(_full_sets(docs, wanted.join(rows.select("row", "doc_id"), "row"), n_words))
     narrow = (
         pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
